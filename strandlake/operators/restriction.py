@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.dims.enzymes import Enzyme, builtin, select_enzymes
 from strandlake.functions.dna import IUPAC_BASES, first_non_acgt, iupac_regex, revcomp_text
-from strandlake.operators.spans import TILE, attach_bases, tile_records
+from strandlake.operators.spans import TILE, attach_bases, motif_offsets, tile_records
 
 # The names of the "common" enzyme set.
 COMMON = """
@@ -25,7 +25,13 @@ NcoI NdeI NheI NotI NsiI PacI PstI SacI SacII SalI SmaI SpeI SphI StuI XbaI XhoI
 SEED = 6
 
 
-def _seed_table(spark: SparkSession, enzymes: list[Enzyme]) -> DataFrame:
+SEED_SCHEMA = (
+    "seed string, regex string, enzyme string, strand string, site_length bigint, top bigint, "
+    "bottom bigint, overhang_polarity string, overhang_length bigint"
+)
+
+
+def _seed_table(enzymes: list[Enzyme]) -> list[tuple]:
     """Concrete leading bases of every motif: the small side of the scan's hash join.
 
     Motifs shorter than a seed are listed at their own length (for windows at the end of a
@@ -46,11 +52,22 @@ def _seed_table(spark: SparkSession, enzymes: list[Enzyme]) -> DataFrame:
         for size in range(min(len(site), SEED), SEED + 1):
             letters = (IUPAC_BASES[x] for x in site[:size].ljust(size, "N"))
             seeds += [("".join(c), regex, name, *rest) for c in product(*letters)]
-    return spark.createDataFrame(
-        seeds,
-        "seed string, regex string, enzyme string, strand string, site_length bigint, top bigint, "
-        "bottom bigint, overhang_polarity string, overhang_length bigint",
-    )
+    return seeds
+
+
+def _any_of(words: list[str]) -> str:
+    """One regular expression for a set of words that shares their common beginnings."""
+    if "" in words:
+        return ""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    letters: dict[str, str] = {}
+    for letter, rest in sorted(tails.items()):
+        tail = _any_of(rest)
+        letters[tail] = letters.get(tail, "") + letter
+    branches = [(f"[{ls}]" if len(ls) > 1 else ls) + tail for tail, ls in letters.items()]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
 def scan_rejects(records: DataFrame, names: list[str], catalogue: list[Enzyme] | None = None) -> DataFrame:
@@ -71,6 +88,14 @@ def scan_rejects(records: DataFrame, names: list[str], catalogue: list[Enzyme] |
     ).where("reason is not null")
 
 
+def _scannable(records: DataFrame, enzymes: list[Enzyme], skip_short_circles: bool = False) -> DataFrame:
+    whole = records.where(~F.col("sequence").rlike("[^ACGT]"))
+    if skip_short_circles:
+        return whole
+    span = max(e.span for e in enzymes)
+    return whole.where((F.col("topology") != "circular") | (F.length("sequence") >= span))
+
+
 def find_sites(
     records: DataFrame,
     names: list[str],
@@ -87,24 +112,27 @@ def find_sites(
     Records listed by ``scan_rejects`` give no rows; with ``skip_short_circles`` only the
     enzymes too long for a small circle are left out.
 
-    Every base opens a window whose first bases meet the concrete spellings of all motifs
-    in one broadcast hash join, so the cost per base does not grow with the catalogue.
+    One regular-expression pass marks where any motif may begin; only those windows become
+    rows and meet the concrete spellings of all motifs in a broadcast hash join, so the cost
+    per base hardly grows with the catalogue.
     """
     enzymes = select_enzymes(names, catalogue)
-    whole = records.where(~F.col("sequence").rlike("[^ACGT]"))
-    if not skip_short_circles:
-        span = max(e.span for e in enzymes)
-        whole = whole.where((F.col("topology") != "circular") | (F.length("sequence") >= span))
+    whole = _scannable(records, enzymes, skip_short_circles)
     width = max(SEED, max(len(e.recognition_sequence) for e in enzymes))
-    windows = F.regexp_extract_all("bases", F.lit(f"(?=(.{{1,{width}}}))"), F.lit(1))
-    seeds = _seed_table(records.sparkSession, enzymes)
+    seeds = _seed_table(enzymes)
+    anywhere = _any_of(sorted({seed for seed, *_ in seeds}))
+    seed_table = records.sparkSession.createDataFrame(seeds, SEED_SCHEMA)
+    # Binary slices copy bytes in place; string slices would walk the tile for every hit.
+    opened = tile_records(whole, width - 1, step, spread).select(
+        "record_id", "topology", "length", "tile_start", motif_offsets(F.col("bases"), anywhere).alias("hits"),
+        F.col("bases").cast("binary").alias("bytes"),
+    )
+    windows = F.expr(f"inline(transform(hits, h -> struct(h as at, cast(substring(bytes, h + 1, {width}) as string) as window)))")
     hits = (
-        tile_records(whole, width - 1, step, spread)
-        .select("record_id", "topology", "length", "tile_start", F.posexplode(windows).alias("at", "window"))
-        .where(F.col("at") < step)
+        opened.select("record_id", "topology", "length", "tile_start", windows)
         .withColumn("site_start", F.col("tile_start") + F.col("at"))
-        .where("site_start < length")
-        .join(F.broadcast(seeds), F.substring("window", 1, SEED) == F.col("seed"))
+        .where((F.col("at") < step) & (F.col("site_start") < F.col("length")))
+        .join(F.broadcast(seed_table), F.substring("window", 1, SEED) == F.col("seed"))
         .where("regex is null or window rlike concat('^', regex)")
     )
     if skip_short_circles:
@@ -164,25 +192,29 @@ def enzymes_in_set(counts: DataFrame, enzymes: DataFrame, which: str, custom: li
     return joined.where(rules[which]).select("record_id", "enzyme", "sites", "available_cuts", "specificity")
 
 
-def merge_cuts(sites: DataFrame) -> DataFrame:
-    """Physical cuts: equal (top, bottom) pairs once, with their enzymes.
-
-    ``bottom`` keeps the signed stagger from ``top`` and so may leave ``[0, n)`` on a circle.
-    """
+def _grouped_cuts(sites: DataFrame) -> DataFrame:
     stagger = (
         F.when(F.col("overhang_polarity") == "five_prime", F.col("overhang_length"))
         .when(F.col("overhang_polarity") == "three_prime", -F.col("overhang_length"))
         .otherwise(F.lit(0))
     )
+    top = F.when(F.col("cleavage_available"), F.col("top_cut")).otherwise(F.lit(-1))
     return (
-        sites.where("cleavage_available")
-        .select("record_id", "length", "topology", F.col("top_cut").alias("top"),
-                (F.col("top_cut") + stagger).alias("bottom"), "enzyme")
+        sites.select("record_id", "length", "topology", top.alias("top"), (top + stagger).alias("bottom"), "enzyme", "problem")
         .groupBy("record_id", "length", "topology", "top", "bottom")
-        .agg(F.array_sort(F.collect_set("enzyme")).alias("enzymes"))
+        .agg(F.array_sort(F.collect_set("enzyme")).alias("enzymes"), F.max("problem").alias("problem"))
     )
 
 
+def merge_cuts(sites: DataFrame) -> DataFrame:
+    """Physical cuts: equal (top, bottom) pairs once, with their enzymes.
+
+    ``bottom`` keeps the signed stagger from ``top`` and so may leave ``[0, n)`` on a circle.
+    """
+    available = sites.where("cleavage_available").withColumn("problem", F.lit(None).cast("string"))
+    return _grouped_cuts(available).drop("problem")
+
+
 def digest_intervals(records: DataFrame, names: list[str], catalogue: list[Enzyme] | None = None, **scan) -> DataFrame:
     """Fragment coordinates of a complete digest, one row per fragment plus a ``reason``
     on every row of a record whose digest is refused.
@@ -191,7 +223,7 @@ def digest_intervals(records: DataFrame, names: list[str], catalogue: list[Enzym
     circle lies beyond ``n``.
     """
     sites = find_sites(records, names, catalogue, **scan)
-    scannable = records.join(scan_rejects(records, names, catalogue).select("record_id"), "record_id", "left_anti")
+    scannable = _scannable(records, select_enzymes(names, catalogue))
     n = F.length("sequence").cast("bigint")
     none = F.array().cast("array<string>")
 
@@ -215,23 +247,18 @@ def digest_intervals(records: DataFrame, names: list[str], catalogue: list[Enzym
             F.lit("cut at a terminus"),
         )
     )
-    # A site that voids its record travels with the cuts instead of a second join.
-    bad = sites.select("record_id", "length", "topology", problem.alias("problem")).where("problem is not null").select(
-        "record_id", "length", "topology", F.lit(-1).cast("bigint").alias("top"), F.lit(-1).cast("bigint").alias("bottom"),
-        none.alias("enzymes"), F.lit("problem").alias("kind"), "problem",
-    )
-    cuts = merge_cuts(sites).select(
-        "record_id", "length", "topology", "top", "bottom", "enzymes", F.lit("cut").alias("kind"),
-        F.lit(None).cast("string").alias("problem"),
+    # A site that voids its record travels with the cuts instead of a second scan and join.
+    cuts = _grouped_cuts(sites.withColumn("problem", problem)).select(
+        "record_id", "length", "topology", "top", "bottom", "enzymes", F.lit("cut").alias("kind"), "problem"
     )
     whole = Window.partitionBy("record_id")
     ordered = whole.orderBy("top", "bottom", F.when(F.col("kind") == "edge", F.col("top")).otherwise(F.lit(1)))
     here = F.struct("top", "bottom", "enzymes")
     rows = (
-        cuts.unionByName(edges).unionByName(bad)
+        cuts.unionByName(edges)
         .withColumn("n_cuts", F.count(F.when(F.col("kind") == "cut", 1)).over(whole))
         .withColumn("problem", F.max("problem").over(whole))
-        .where("kind != 'problem' and (kind != 'circle' or n_cuts = 0)")
+        .where("kind != 'circle' or n_cuts = 0")
         .withColumn("left", here)
         .withColumn("next", F.lead(here).over(ordered))
         .withColumn("head", F.first(here).over(ordered))

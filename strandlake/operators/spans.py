@@ -43,6 +43,29 @@ def tile_records(records: DataFrame, overlap: int = 0, step: int = TILE, spread:
     return tiles.repartition(spread, "record_id", "tile") if spread else tiles
 
 
+def motif_offsets(text, regex: str):
+    """Zero-based starts of all hits of a regular expression, overlapping ones included.
+
+    A comma goes in front of every hit, and the lengths of the pieces between commas add
+    up to the starts. The leading mark keeps a hit on the very first base apart.
+    """
+    marked = F.regexp_replace(F.concat(F.lit(">"), text), f"(?={regex})", ",")
+
+    def starts(pieces):
+        return F.aggregate(
+            F.slice(pieces, 1, F.size(pieces) - 1),
+            F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("hits")),
+            lambda acc, piece: F.struct(
+                (acc["at"] + F.length(piece)).alias("at"),
+                F.concat(acc["hits"], F.array(acc["at"] + F.length(piece))).alias("hits"),
+            ),
+            lambda acc: acc["hits"],
+        )
+
+    # The one-element array binds the pieces once; repeating the expression would split again.
+    return F.transform(F.array(F.split(marked, ",")), starts)[0]
+
+
 def attach_bases(
     spans: DataFrame,
     records: DataFrame,

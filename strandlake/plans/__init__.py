@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["restriction"]
+AREAS = ["restriction", "ligation", "annotation"]
 
 
 def all_queries():
