@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["restriction", "ligation", "annotation"]
+AREAS = ["restriction", "ligation", "annotation", "translation"]
 
 
 def all_queries():

@@ -65,8 +65,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = LENGTH
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_partkey as record_id",
-        "concat('feature-', l_orderkey, '-', l_linenumber) as feature_id",
-        "l_orderkey * 10 + l_linenumber as feature_ord",
+        "concat('feature-', l_orderkey, '-', l_linenumber, '-', l_suppkey) as feature_id",
+        "(l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey as feature_ord",
         "case l_returnflag when 'A' then 'CDS' when 'R' then 'promoter' else 'misc_feature' end as kind",
         "concat(lower(l_returnflag), l_linestatus, '-', l_suppkey % 7) as label",
         "case l_linenumber % 3 when 0 then 'forward' when 1 then 'reverse' else 'unknown' end as strand",
@@ -91,8 +91,8 @@ def feature_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTES["features"] = f"""
 features AS (
-  SELECT l_partkey AS record_id, 'feature-' || l_orderkey || '-' || l_linenumber AS feature_id,
-         l_orderkey * 10 + l_linenumber AS feature_ord,
+  SELECT l_partkey AS record_id, 'feature-' || l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS feature_id,
+         (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS feature_ord,
          CASE l_returnflag WHEN 'A' THEN 'CDS' WHEN 'R' THEN 'promoter' ELSE 'misc_feature' END AS kind,
          lower(l_returnflag) || l_linestatus || '-' || (l_suppkey % 7) AS label,
          CASE l_linenumber % 3 WHEN 0 THEN 'forward' WHEN 1 THEN 'reverse' ELSE 'unknown' END AS strand,
