@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["restriction", "ligation", "annotation", "translation"]
+AREAS = ["restriction", "ligation", "annotation", "translation", "library"]
 
 
 def all_queries():

@@ -114,3 +114,73 @@ def with_ctes(*names_and_body: str) -> str:
     """``with_ctes('constructs', ..., body)``: the named fragments and own CTE text, then the query."""
     *names, body = names_and_body
     return "WITH RECURSIVE " + ",\n".join(CTES.get(n, n) for n in names) + "\n" + body
+
+
+def _part_of(key: str, cut: str) -> tuple[str, str, str]:
+    """Base customer, start and length of a customer's library part; every fourth customer
+    carries a trimmed copy and another fourth a point mutant of a neighbour's part."""
+    base = f"({key} - CASE {key} % 4 WHEN 3 THEN 3 WHEN 2 THEN 2 ELSE 0 END)"
+    trim = f"CASE WHEN {key} % 4 = 3 THEN {cut} ELSE 0 END"
+    return base, f"(({base} * 37) % 300 + {trim})", f"(24 + ({base} * 7) % 140 - 2 * {trim})"
+
+
+_BASE, _START, _WIDTH = _part_of("c", "2")
+
+
+def library_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part per customer: a stretch of a construct, some trimmed or mutated."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    digits = f"array_join(transform(sequence(0, {BLOCKS - 1}), i -> md5(concat(base, ':', i))), '')"
+    bases = f"translate({digits}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
+    return (
+        spread(keys, "c").selectExpr("c", f"{_BASE} as base", f"cast({_START} as int) as s", f"cast({_WIDTH} as int) as w")
+        .selectExpr("c", "base", "s", f"substring({bases}, s + 1, w) as whole", "w")
+        .selectExpr(
+            "c", "base", "cast(s as bigint) as start",
+            "if(c % 4 = 2, concat(substring(whole, 1, w div 2), translate(substring(whole, w div 2 + 1, 1), 'ACGT', 'TGCA'), substring(whole, w div 2 + 2)), whole) as part",
+        )
+    )
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library occurrences: one per order, half of them read on the other strand."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey as c", "o_orderkey as feature_ord", "concat('plasmid-', lpad(cast(o_orderkey % 500 as string), 4, '0')) as source_path",
+        "o_orderpriority as p", "o_orderstatus as st",
+    )
+    return orders.join(library_parts(spark, sf_dir), "c").selectExpr(
+        "source_path", "feature_ord",
+        "case substring(p, 1, 1) when '1' then concat('part-', base) when '2' then concat('PART ', base) else concat('Part ', base) end as label",
+        "case st when 'O' then 'CDS' when 'F' then 'promoter' else 'misc_feature' end as kind",
+        "case feature_ord % 3 when 0 then '#ff0000' when 1 then '#00ff00' end as color",
+        "array(named_struct('key', 'note', 'value', p)) as qualifiers",
+        "if(feature_ord % 2 = 0, part, reverse(translate(part, 'ACGT', 'TGCA'))) as sequence",
+        "least(part, reverse(translate(part, 'ACGT', 'TGCA'))) as canonical",
+        "feature_ord % 5 > 1 as stranded", "start", "1L as parts",
+    )
+
+
+CTES["library_parts"] = f"""
+picked AS (SELECT c_custkey AS c, {_BASE.replace('c ', 'c_custkey ')} AS base, {_START.replace('c ', 'c_custkey ')} AS s, {_WIDTH.replace('c ', 'c_custkey ')} AS w FROM customer),
+cut_out AS (SELECT c, base, s, w, substr(translate({" || ".join(f"md5(base || ':{i}')" for i in range(BLOCKS))}, '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(s + 1 AS BIGINT), CAST(w AS BIGINT)) AS whole FROM picked),
+library_parts AS (
+  SELECT c, base, s AS start, CASE WHEN c % 4 = 2 THEN whole[:w // 2] || translate(whole[w // 2 + 1], 'ACGT', 'TGCA') || whole[w // 2 + 2:] ELSE whole END AS part FROM cut_out)"""
+CTES["occurrences"] = """
+occurrences AS MATERIALIZED (
+  SELECT 'plasmid-' || lpad(CAST(o_orderkey % 500 AS VARCHAR), 4, '0') AS source_path, o_orderkey AS feature_ord,
+         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'part-' || base WHEN '2' THEN 'PART ' || base ELSE 'Part ' || base END AS label,
+         CASE o_orderstatus WHEN 'O' THEN 'CDS' WHEN 'F' THEN 'promoter' ELSE 'misc_feature' END AS kind,
+         CASE o_orderkey % 3 WHEN 0 THEN '#ff0000' WHEN 1 THEN '#00ff00' END AS color,
+         CASE WHEN o_orderkey % 2 = 0 THEN part ELSE reverse(translate(part, 'ACGT', 'TGCA')) END AS sequence,
+         least(part, reverse(translate(part, 'ACGT', 'TGCA'))) AS canonical, o_orderkey % 5 > 1 AS stranded, start
+  FROM orders JOIN library_parts ON c = o_custkey)"""
+CTES["lib_features"] = """
+numbered AS (SELECT *, row_number() OVER (ORDER BY source_path, feature_ord) AS id FROM occurrences),
+named AS (SELECT canonical, label, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, f) AS r FROM (SELECT canonical, label, count(*) AS n, min(id) AS f FROM numbered GROUP BY ALL)),
+kinds AS (SELECT canonical, kind, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, f) AS r FROM (SELECT canonical, kind, count(*) AS n, min(id) AS f FROM numbered GROUP BY ALL)),
+colors AS (SELECT canonical, color, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, f) AS r FROM (SELECT canonical, color, count(*) AS n, min(id) AS f FROM numbered WHERE color IS NOT NULL GROUP BY ALL)),
+lib_features AS MATERIALIZED (
+  SELECT o.canonical, n.label AS name, k.kind, c.color, length(o.canonical) AS length, count(*) AS occurrences, min(o.id) AS first_id,
+         2 * count(*) FILTER (o.stranded) >= count(*) AS stranded, arg_min(o.sequence, o.id) FILTER (o.label = n.label) AS sequence
+  FROM numbered o JOIN named n ON n.canonical = o.canonical AND n.r = 1 JOIN kinds k ON k.canonical = o.canonical AND k.r = 1
+  LEFT JOIN colors c ON c.canonical = o.canonical AND c.r = 1 GROUP BY o.canonical, n.label, k.kind, c.color)"""
