@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["restriction", "ligation", "annotation", "translation", "library"]
+AREAS = ["restriction", "ligation", "annotation", "translation", "library", "assembly"]
 
 
 def all_queries():
