@@ -14,6 +14,8 @@ from strandlake.sources.text import parse_fasta, parse_genbank
 OCCURRENCES = """source_path string, feature_ord bigint, label string, kind string, color string,
 qualifiers array<struct<key: string, value: string>>, sequence string, canonical string, stranded boolean, start bigint, parts bigint, sha256 string"""
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Read files of mixed formats: ``(occurrences, rejects)``. ``files`` holds ``source_path,
@@ -65,7 +67,7 @@ def merge_batch(spark: SparkSession, files: DataFrame, library_path: str, batch:
 def stream_library_import(spark: SparkSession, folder: str, library_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Import files as they arrive below ``folder``; the newest ``v*`` folder is the library."""
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", EXTENSIONS).load(folder)
+        spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", EXTENSIONS).load(folder)
         .select(F.col("path").alias("source_path"), "content", F.sha2("content", 256).alias("sha256"))
     )
 
