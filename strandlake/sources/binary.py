@@ -127,7 +127,7 @@ def parse_snapgene(files: DataFrame) -> tuple[Import, DataFrame]:
     features = listed.withColumn("feature_id", F.format_string("feature-%04d", F.col("at") + 1)).join(sizes, ["record_id", "feature_id"]).select(
         "record_id", "feature_id", (F.col("at") + 1).alias("feature_ord"), F.coalesce("f._type", F.lit("misc_feature")).alias("kind"),
         F.coalesce("f._name", F.lit("")).alias("label"), strand.alias("strand"), F.when(F.col("k") == 1, F.lit("contiguous")).otherwise(F.lit("join")).alias("operator"),
-        qualifiers.alias("qualifiers"), F.expr("element_at(filter(transform(f.Segment, s -> s._color), c -> c is not null), 1)").alias("color"))
+        qualifiers.alias("qualifiers"), F.expr("try_element_at(filter(transform(f.Segment, s -> s._color), c -> c is not null), 1)").alias("color"))
     number = F.concat(F.lit("feature "), (F.col("at") + 1).cast("string"))
     bad = ranged.where("not ok and s is not null").select(
         "record_id", F.when(F.col("s._range").isNull(), F.lit("snapgene_feature_segment_missing_range")).otherwise(F.lit("snapgene_feature_range_unsupported")).alias("code"),
