@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from strandlake.plans import all_queries
@@ -28,6 +29,7 @@ def main():
         begin = time.perf_counter()
         catalog[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     bases = spark.read.parquet(f"{sf_dir}/part.parquet").count() * 512
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
