@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.session import ship_package
+
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -22,7 +24,12 @@ def query(name: str, sql: str | None = None):
     def add(run):
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")
-        CATALOG[name] = Query(run, sql)
+
+        def shipped(spark, sf_dir):
+            ship_package(spark)
+            return run(spark, sf_dir)
+
+        CATALOG[name] = Query(shipped, sql)
         return run
 
     return add

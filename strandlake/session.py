@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +35,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to all Python workers of the session, wherever the driver found it; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_strandlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    packed = os.path.join(tempfile.mkdtemp(prefix="strandlake-"), "strandlake.zip")
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(packed)  # the driver serves it; executors need not see the file
+    context._strandlake_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative step in the shared checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used; a temporary one is
-    chosen only where the session names none (local tests).
+    The folder named in ``spark.checkpoint.dir`` is used; only a local session may go without, on a cluster a folder
+    of one machine would be lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
