@@ -6,7 +6,7 @@ from importlib import import_module
 
 #: Modules of the package whose queries are registered.
 AREAS = [
-    "secrets", "quotes", "url_filter", "packing", "near_dedup", "licenses", "mixing",
+    "topk_search", "quality", "vector_dedup", "secrets", "quotes", "url_filter", "packing", "near_dedup", "licenses", "mixing",
 ]
 
 QUERIES: dict = {}
