@@ -21,15 +21,16 @@ def _segments(df: DataFrame, start: str, length: str, n: str, bin_width: int) ->
     )
 
 
-def project_parts(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN) -> DataFrame:
+def project_parts(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN, sizes: DataFrame | None = None) -> DataFrame:
     """Every stretch of a feature part that lies in an interval of the same record.
 
     ``parts``: ``record_id, feature_id, part_index, start, length, strand``.
     ``intervals``: ``record_id, interval_id, begin, size, n, bottom`` with ``bottom`` true
     for strands read backwards. Spans may wrap. Both sides meet on (record, bin), so a
-    chromosome's features spread out; each overlap is reported from one bin only.
+    chromosome's features spread out; each overlap is reported from one bin only. ``sizes(record_id, n)``, if at
+    hand, saves deriving the intervals a second time for the lengths of the records.
     """
-    sizes = intervals.select("record_id", "n").distinct()
+    sizes = intervals.select("record_id", "n").distinct() if sizes is None else sizes.select("record_id", "n")
     left = _segments(
         parts.join(sizes, "record_id").select("record_id", "feature_id", "part_index", "strand",
                                               F.col("start").alias("p_start"), F.col("length").alias("p_length"), F.col("n").alias("p_n")),
@@ -41,7 +42,9 @@ def project_parts(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN)
         left.join(right, ["record_id", "_bin"])
         .where("_seg.lo < _pseg.hi and _pseg.lo < _seg.hi")
         .where(F.floor(lo / bin_width) == F.col("_bin"))
-        .withColumn("_shift", F.explode(F.expr("array(-n, 0L, n)")))
+        # A turn earlier or later only where the lifted part still meets the interval.
+        .withColumn("_shift", F.explode(F.expr(
+            "filter(array(-n, 0L, n), k -> p_start + k < begin + size and begin < p_start + k + p_length)")))
         .withColumn("_start", F.col("p_start") + F.col("_shift"))
         .withColumn("_lo", F.greatest("_start", "begin"))
         .withColumn("_hi", F.least(F.col("_start") + F.col("p_length"), F.col("begin") + F.col("size")))
@@ -62,13 +65,13 @@ def project_parts(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN)
     )
 
 
-def project_features(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN) -> DataFrame:
+def project_features(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN, sizes: DataFrame | None = None) -> DataFrame:
     """Coverage of each feature on each interval; features without a retained base are absent.
 
     ``parts_mapped`` keeps (source part, offset, fragment start, length) in source order and
     ``split_source_parts`` lists parts broken over the ends of a linear interval.
     """
-    pieces = project_parts(parts, intervals, bin_width)
+    pieces = project_parts(parts, intervals, bin_width, sizes)
     keys = ["record_id", "interval_id", "bottom", "feature_id"]
     per_part = pieces.groupBy(*keys, "source_part").agg(
         F.count("*").alias("pieces"), F.sum("length").alias("bases"),
@@ -96,9 +99,9 @@ def fragment_intervals(fragments: DataFrame) -> DataFrame:
     return fragments.select("record_id", F.col("fragment_id").alias("interval_id"), "n", "topology", F.inline(sides))
 
 
-def annotated_digest(parts: DataFrame, fragments: DataFrame, bin_width: int = BIN) -> DataFrame:
-    """Features of the source on both strands of its digest fragments."""
-    return project_features(parts, fragment_intervals(fragments), bin_width)
+def annotated_digest(parts: DataFrame, fragments: DataFrame, bin_width: int = BIN, sizes: DataFrame | None = None) -> DataFrame:
+    """Features of the source on both strands of its digest fragments; ``digest_spans`` is all it needs of them."""
+    return project_features(parts, fragment_intervals(fragments), bin_width, sizes)
 
 
 def core_annotations(parts: DataFrame, cores: DataFrame) -> DataFrame:

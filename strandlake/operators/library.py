@@ -144,12 +144,16 @@ def derive_features(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def curate(features: DataFrame, edits: DataFrame) -> DataFrame:
+def curate(features: DataFrame, edits: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Overlay ``(library_id, edited_at, name, kind, hidden, standalone)`` edits.
 
     The latest non-null value of each field wins; any edit marks a feature curated or hidden,
-    and edits survive a refresh because they are kept apart.
+    and edits survive a refresh because they are kept apart. ``before`` is the feature table of the time before the
+    refresh: edited features that no file carries any more stay as they were there, without occurrences.
     """
+    if before is not None:
+        gone = before.join(features.select("library_id"), "library_id", "left_anti").join(edits.select("library_id"), "library_id", "left_semi")
+        features = features.unionByName(gone.withColumn("occurrences", F.lit(0).cast(features.schema["occurrences"].dataType)).select(*features.columns))
     latest = edits.groupBy("library_id").agg(
         *[F.expr(f"max_by({c}, edited_at) filter (where {c} is not null)").alias(f"e_{c}") for c in ("name", "kind", "hidden", "standalone")]
     ).withColumn("edited", F.lit(True))

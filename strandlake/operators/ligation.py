@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.ends import end_reason, fits
 
-MAX_INPUTS, MAX_COMPONENTS, MAX_STRAND_BASES = 16, 128, 10_000_000
-
-
 def plan_rejects(plan: DataFrame) -> DataFrame:
     """Plans of an invalid shape, with the reason."""
     per_use = plan.groupBy("plan_id", "input", "fragment_id").agg(
@@ -25,8 +22,7 @@ def plan_rejects(plan: DataFrame) -> DataFrame:
         F.max((F.col("input") < 1) | (F.col("input") > F.col("inputs")) | (F.col("fragment_id") == "")).alias("stray"),
     )
     reason = (
-        F.when(~F.col("inputs").between(1, MAX_INPUTS), F.lit("expected 1..=16 input digest instances"))
-        .when(F.col("components") > MAX_COMPONENTS, F.lit("expected 1..=128 selected components"))
+        F.when(F.col("inputs") < 1, F.lit("a plan needs an input digest"))
         .when(F.col("stray"), F.lit("invalid input number or empty fragment id"))
         .when(F.col("reuse") > 1, F.lit("fragment reused"))
     )
@@ -147,7 +143,6 @@ def ligation_outcomes(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     )
     reason = F.coalesce(
         F.col("unusable"),
-        F.when(F.greatest("top_bases", "bottom_bases") > MAX_STRAND_BASES, F.lit("product exceeds 10,000,000 bases per strand")),
         F.when(F.col("misfit").isNotNull(), F.concat(F.lit("junction after component "), F.col("misfit.place").cast("string"), F.lit(": "), F.col("misfit.why"))),
         F.when(~conserved, F.lit("strands are not conserved")),
     )

@@ -77,9 +77,9 @@ def edit_rejects(edits: DataFrame, records: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("n").isNull(), F.lit("no such record"))
         .when(F.trim("label") == "", F.lit("empty label"))
-        .when(~F.col("kind").rlike(r"^\S{1,15}$"), F.lit("invalid kind"))
+        .when(~F.col("kind").rlike(r"^\S+$"), F.lit("invalid kind"))
         .when(F.col("color").isNotNull() & ~F.col("color").rlike("^#[0-9A-Fa-f]{6}$"), F.lit("invalid colour"))
-        .when((F.col("start") < 0) | (F.col("start") >= F.col("n")) | (F.col("end") <= 0) | (F.col("end") > F.col("n")) | (F.col("start") == F.col("end"))
+        .when((F.col("start") < 0) | (F.col("start") >= F.col("n")) | (F.col("end") < 0) | (F.col("end") > F.col("n")) | (F.col("start") == F.col("end"))
               | ((F.col("end") < F.col("start")) & (F.col("topology") == "linear")), F.lit("invalid range"))
         .when(F.col("translate") & (F.col("strand") == "unknown"), F.lit("a translated feature needs a strand"))
     )
@@ -114,7 +114,7 @@ def add_features(edits: DataFrame, records: DataFrame, features: DataFrame) -> t
         F.when(F.col("translate"), entry("codon_start", F.col("codon_start"))), F.when(F.col("translate"), entry("transl_table", F.col("transl_table"))),
         F.when(F.col("translation").isNotNull(), entry("translation", F.col("translation"))), F.when(F.col("note").isNotNull(), entry("note", F.col("note"))),
     ), lambda q: q.isNotNull())
-    added = shown.select("record_id", "feature_id", "feature_ord", "kind", F.trim("label").alias("label"), "color", "strand", F.lit("contiguous").alias("operator"), qualifiers.alias("qualifiers"))
+    added = shown.select("record_id", "feature_id", "feature_ord", F.when(F.col("translate"), F.lit("CDS")).otherwise(F.col("kind")).alias("kind"), F.trim("label").alias("label"), "color", "strand", F.lit("contiguous").alias("operator"), qualifiers.alias("qualifiers"))
     checks = F.filter(F.array(
         F.when(F.size("internal_stops") > 0, F.lit("internal_stop")), F.when(F.col("trailing_bases") > 0, F.lit("incomplete_codon")),
         F.when(~F.col("terminal_stop"), F.lit("no_stop")), F.when(~F.col("protein").startswith("M"), F.lit("no_start")),

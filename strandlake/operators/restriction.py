@@ -6,8 +6,6 @@ molecule. All work is per tile until the cuts, which are small, meet on ``record
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +23,17 @@ NcoI NdeI NheI NotI NsiI PacI PstI SacI SacII SalI SmaI SpeI SphI StuI XbaI XhoI
 SEED = 6
 
 
-SEED_SCHEMA = (
-    "seed string, regex string, enzyme string, strand string, site_length bigint, top bigint, "
+MOTIF_SCHEMA = (
+    "beginning string, regex string, enzyme string, strand string, site_length bigint, top bigint, "
     "bottom bigint, overhang_polarity string, overhang_length bigint"
 )
 
 
-def _seed_table(enzymes: list[Enzyme]) -> list[tuple]:
-    """Concrete leading bases of every motif: the small side of the scan's hash join.
+def _beginnings(enzymes: list[Enzyme]) -> list[tuple]:
+    """Leading letters of every motif, with ambiguity codes.
 
     Motifs shorter than a seed are listed at their own length (for windows at the end of a
-    linear molecule) and with every continuation up to the seed length. ``regex`` checks
+    linear molecule) and with any letters up to the seed length. ``regex`` checks
     what lies behind the seed of a longer motif.
     """
     rows = []
@@ -49,14 +47,23 @@ def _seed_table(enzymes: list[Enzyme]) -> list[tuple]:
     seeds = []
     for name, site, *rest in rows:
         regex = iupac_regex(site) if len(site) > SEED else None
-        for size in range(min(len(site), SEED), SEED + 1):
-            letters = (IUPAC_BASES[x] for x in site[:size].ljust(size, "N"))
-            seeds += [("".join(c), regex, name, *rest) for c in product(*letters)]
+        seeds += [(site[:size].ljust(size, "N"), regex, name, *rest) for size in range(min(len(site), SEED), SEED + 1)]
     return seeds
 
 
+def _seed_table(spark, beginnings: list[tuple]) -> DataFrame:
+    """Every concrete spelling of each beginning, one base further at a time."""
+    table = spark.createDataFrame(beginnings, MOTIF_SCHEMA).withColumn("seed", F.lit(""))
+    bases = F.create_map(*[F.lit(x) for code, letters in IUPAC_BASES.items() for x in (code, letters)])
+    for i in range(1, SEED + 1):
+        letter = F.element_at(bases, F.substring("beginning", i, 1))
+        more = F.when(F.length("beginning") >= i, F.filter(F.split(letter, ""), lambda c: c != "")).otherwise(F.array(F.lit("")))
+        table = table.withColumn("_next", F.explode(more)).withColumn("seed", F.concat("seed", "_next")).drop("_next")
+    return table.drop("beginning")
+
+
 def _any_of(words: list[str]) -> str:
-    """One regular expression for a set of words that shares their common beginnings."""
+    """One regular expression for a set of words of ambiguity codes that shares their common beginnings."""
     if "" in words:
         return ""
     tails: dict[str, list[str]] = {}
@@ -65,7 +72,7 @@ def _any_of(words: list[str]) -> str:
     letters: dict[str, str] = {}
     for letter, rest in sorted(tails.items()):
         tail = _any_of(rest)
-        letters[tail] = letters.get(tail, "") + letter
+        letters[tail] = "".join(sorted(set(letters.get(tail, "") + "".join(IUPAC_BASES[letter]))))
     branches = [(f"[{ls}]" if len(ls) > 1 else ls) + tail for tail, ls in letters.items()]
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
@@ -113,15 +120,15 @@ def find_sites(
     enzymes too long for a small circle are left out.
 
     One regular-expression pass marks where any motif may begin; only those windows become
-    rows and meet the concrete spellings of all motifs in a broadcast hash join, so the cost
-    per base hardly grows with the catalogue.
+    rows and meet the concrete spellings of all motifs in a hash join, broadcast where their
+    measured size allows, so the cost per base hardly grows with the catalogue.
     """
     enzymes = select_enzymes(names, catalogue)
     whole = _scannable(records, enzymes, skip_short_circles)
     width = max(SEED, max(len(e.recognition_sequence) for e in enzymes))
-    seeds = _seed_table(enzymes)
-    anywhere = _any_of(sorted({seed for seed, *_ in seeds}))
-    seed_table = records.sparkSession.createDataFrame(seeds, SEED_SCHEMA)
+    beginnings = _beginnings(enzymes)
+    anywhere = _any_of(sorted({letters for letters, *_ in beginnings}))
+    seed_table = _seed_table(records.sparkSession, beginnings)
     # Binary slices copy bytes in place; string slices would walk the tile for every hit.
     opened = tile_records(whole, width - 1, step, spread).select(
         "record_id", "topology", "length", "tile_start", motif_offsets(F.col("bases"), anywhere).alias("hits"),
@@ -132,7 +139,7 @@ def find_sites(
         opened.select("record_id", "topology", "length", "tile_start", windows)
         .withColumn("site_start", F.col("tile_start") + F.col("at"))
         .where((F.col("at") < step) & (F.col("site_start") < F.col("length")))
-        .join(F.broadcast(seed_table), F.substring("window", 1, SEED) == F.col("seed"))
+        .join(seed_table, F.substring("window", 1, SEED) == F.col("seed"))
         .where("regex is null or window rlike concat('^', regex)")
     )
     if skip_short_circles:
@@ -295,6 +302,44 @@ def digest_rejects(records: DataFrame, names: list[str], catalogue: list[Enzyme]
     )
 
 
+def digest_spans(records: DataFrame, names: list[str], catalogue: list[Enzyme] | None = None, **scan) -> DataFrame:
+    """Fragments with the place of both strands and no bases: ``top`` and ``bottom`` are ``struct(start, length)``."""
+    parts = digest_intervals(records, names, catalogue, **scan).where("reason is null")
+
+    def strand(side):
+        a, b = F.col(f"left.{side}"), F.col(f"right.{side}")
+        return F.struct(F.pmod(a, F.col("n")).alias("start"), (b - a).alias("length")).alias(side)
+
+    return parts.select(
+        "record_id", "n", "source_topology", "fragment_ord", "fragment_id", "topology", strand("top"), strand("bottom"), "paired_length"
+    )
+
+
+def digest_ends(records: DataFrame, names: list[str], catalogue: list[Enzyme] | None = None, **scan) -> DataFrame:
+    """Fragments with both ends as ``digest`` gives them; only the bases of overhangs are fetched."""
+    parts = digest_intervals(records, names, catalogue, **scan).where("reason is null and topology = 'linear'")
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("at")) for s in ("left", "right")])).alias("s")
+    cuts = parts.select("record_id", "n", "fragment_ord", "fragment_id", sides).select(
+        "record_id", "n", "fragment_ord", "fragment_id", "s.side", "s.at.top", "s.at.bottom", "s.at.enzymes",
+        F.least("s.at.top", "s.at.bottom").alias("lo"), F.abs(F.col("s.at.top") - F.col("s.at.bottom")).alias("size"),
+    )
+    keys = ["record_id", "fragment_ord", "side"]
+    cohesive = attach_bases(cuts.where("size > 0"), records, keys, "lo", "size", "n", "bases")
+    ends = cohesive.unionByName(cuts.where("size = 0").withColumn("bases", F.lit("")))
+    protruding = F.when(F.col("size") > 0, F.when((F.col("bottom") > F.col("top")) == (F.col("side") == "left"), F.lit("forward")).otherwise(F.lit("reverse")))
+    end = F.struct(
+        (F.size("enzymes") == 0).alias("original_terminus"),
+        F.when(F.col("size") == 0, F.lit("blunt")).when(F.col("bottom") > F.col("top"), F.lit("five_prime")).otherwise(F.lit("three_prime")).alias("polarity"),
+        protruding.alias("protruding_strand"),
+        F.when(protruding == "reverse", F.reverse(F.translate("bases", "ACGT", "TGCA"))).otherwise(F.col("bases")).alias("overhang"),
+        "enzymes",
+    )
+    return (
+        ends.withColumn("end", end).groupBy("record_id", "fragment_ord", "fragment_id")
+        .agg(*[F.first(F.when(F.col("side") == s, F.col("end")), ignorenulls=True).alias(f"{s}_end") for s in ("left", "right")])
+    )
+
+
 def digest(records: DataFrame, names: list[str], catalogue: list[Enzyme] | None = None, **scan) -> DataFrame:
     """Fragments with both strands and both ends.
 

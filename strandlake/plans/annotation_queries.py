@@ -24,7 +24,9 @@ piece_counts AS (
 
 
 def _annotated(spark, sf_dir):
-    return A.annotated_digest(feature_parts(spark, sf_dir), R.digest(constructs(spark, sf_dir), DIGEST), bin_width=128)
+    records = constructs(spark, sf_dir)
+    sizes = records.select("record_id", F.col("length").alias("n"))
+    return A.annotated_digest(feature_parts(spark, sf_dir), R.digest_spans(records, DIGEST), 128, sizes)
 
 
 @query(
@@ -51,8 +53,9 @@ SELECT record_id, fragment_id, bottom, feature_id, CAST(part_index AS BIGINT) AS
 FROM projected"""),
 )
 def projected_feature_parts(spark, sf_dir):
-    frags = R.digest(constructs(spark, sf_dir), DIGEST)
-    return A.project_parts(feature_parts(spark, sf_dir), A.fragment_intervals(frags), bin_width=128).select(
+    records = constructs(spark, sf_dir)
+    intervals = A.fragment_intervals(R.digest_spans(records, DIGEST))
+    return A.project_parts(feature_parts(spark, sf_dir), intervals, 128, records.select("record_id", F.col("length").alias("n"))).select(
         "record_id", F.col("interval_id").alias("fragment_id"), "bottom", "feature_id",
         F.col("source_part").cast("bigint").alias("source_part"), "source_offset", "fragment_start", "length",
     )

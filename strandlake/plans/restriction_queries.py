@@ -223,7 +223,7 @@ SELECT record_id, n AS length, CAST(count(*) AS BIGINT) AS fragments, CAST(sum(t
 FROM fragments GROUP BY record_id, n"""),
 )
 def digest_conservation(spark, sf_dir):
-    return R.digest_conservation(R.digest(constructs(spark, sf_dir), DIGEST))
+    return R.digest_conservation(R.digest_spans(constructs(spark, sf_dir), DIGEST))
 
 
 _END = """CASE WHEN topology = 'circular' OR {e} = '' THEN 'end' ELSE replace({e}, ',', '/') || ' (' ||
@@ -247,7 +247,7 @@ def digest_summary(spark, sf_dir):
     with_ctes(*digest_ctes(), "SELECT record_id, fragment_id, top_start AS start, top_length AS length FROM fragments"),
 )
 def digest_by_length(spark, sf_dir):
-    return R.digest_by_length(R.digest(constructs(spark, sf_dir), DIGEST))
+    return R.digest_by_length(R.digest_spans(constructs(spark, sf_dir), DIGEST))
 
 
 @query(

@@ -48,8 +48,8 @@ def feature_sequences_query(spark, sf_dir):
 @query(
     "contiguous_feature_spans",
     with_ctes("constructs", "features", "feature_parts", """
-SELECT record_id, feature_id, start, length FROM feature_parts
-WHERE (record_id, feature_id) NOT IN (SELECT (record_id, feature_id) FROM feature_parts WHERE part_index = 1)"""),
+SELECT record_id, feature_id, start, length FROM feature_parts a
+ANTI JOIN (SELECT record_id, feature_id FROM feature_parts WHERE part_index = 1) b USING (record_id, feature_id)"""),
 )
 def contiguous_feature_spans(spark, sf_dir):
     return contiguous_spans(feature_parts(spark, sf_dir), constructs(spark, sf_dir)).select("record_id", "feature_id", "start", "length")

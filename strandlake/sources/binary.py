@@ -28,11 +28,13 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 def sniff(files: DataFrame) -> DataFrame:
     """Add ``format`` by content, else by extension, with ``mismatch`` or a ``reason`` to refuse."""
     head = F.hex(F.substring("content", 1, 16))
-    opening = F.regexp_extract(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), r"(?s)^(?:ï»¿)?\s*(.*)$", 1)
+    # Blanks of any number may come first; the match keeps no more than it has to tell formats apart.
+    opening = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"^(?:ï»¿)?\s*+(.{0,8})", 1)
+    bundle = F.get_json_object(F.when(opening.startswith("{"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")), "$.format")
     seen = (
         F.when(head.startswith("09") & (F.substring(head, 11, 16) == "536E617047656E65"), F.lit("snapgene"))
         .when(opening.startswith("LOCUS"), F.lit("genbank")).when(opening.startswith(">"), F.lit("fasta"))
-        .when(opening.startswith("{") & opening.rlike(r'"format"\s*:\s*"[a-z]+-locus"'), F.lit("locus"))
+        .when(bundle.rlike("^[a-z]+-locus$"), F.lit("locus"))
     )
     other = (
         F.when(head.startswith("504B0304"), F.lit("a ZIP archive or Office document")).when(head.startswith("25504446"), F.lit("a PDF document"))

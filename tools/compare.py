@@ -49,7 +49,7 @@ def main():
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     catalog = all_queries()
     names = [n for n in catalog if not args or any(n.startswith(a) for a in args)]
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CORES", "8")))
     con = duck(sf_dir)
     bad = []
     for name in names:
