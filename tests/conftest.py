@@ -10,6 +10,6 @@ from strandlake.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    session = local_session(int(os.environ.get("TEST_CORES", "4")), 4)
     yield session
     session.stop()
