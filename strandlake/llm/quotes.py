@@ -45,12 +45,12 @@ def passage_origins(lines: DataFrame) -> DataFrame:
     first = own.where("conv_id is not null").groupBy("mark").agg(F.min(F.struct("turn", "conv_id")).alias("first"))
     quoted = lines.where("level > 0 and mark is not null")
     near = quoted.join(
-        here.select(F.col("conv_id").alias("_conv"), "mark", "here_turn"),
-        (quoted["mark"] == here["mark"]) & quoted["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("here_turn") < quoted["turn"]), "left",
-    ).drop(here["mark"])
+        here.select(F.col("conv_id").alias("_conv"), F.col("mark").alias("_mark"), "here_turn"),
+        F.expr("mark = _mark and conv_id <=> _conv and here_turn < turn"), "left",
+    ).drop("_conv", "_mark")
     far = near.join(first, "mark", "left")
     origin = F.when(F.col("here_turn").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("here_turn").alias("turn"))).otherwise(
-        F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.struct(F.col("first.conv_id").alias("conv"), F.col("first.turn").alias("turn")))
+        F.when(F.col("first").isNotNull() & ~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.struct(F.col("first.conv_id").alias("conv"), F.col("first.turn").alias("turn")))
     )
     votes = (
         far.withColumn("origin", origin).where("origin is not null")
