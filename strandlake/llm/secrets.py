@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from strandlake.llm.catalog import query
 from strandlake.llm.common import keep, row_key, table
 
-#: Fixed patterns, their kinds in order, and the fewest characters (of the group given) that count.
+#: Fixed patterns, their kinds in order, and the fewest characters (of the group given) that count. Runs of hex digits are
+#: asked for at their least length at once: a run is one match with or without it, and short ones need not become rows.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-PATTERNS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
+PATTERNS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
