@@ -30,7 +30,7 @@ def sniff(files: DataFrame) -> DataFrame:
     head = F.hex(F.substring("content", 1, 16))
     # Blanks of any number may come first; the match keeps no more than it has to tell formats apart.
     opening = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"^(?:ï»¿)?\s*+(.{0,8})", 1)
-    bundle = F.get_json_object(F.when(opening.startswith("{"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")), "$.format")
+    bundle = F.get_json_object(F.when(opening.startswith("{"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")), "$.format")
     seen = (
         F.when(head.startswith("09") & (F.substring(head, 11, 16) == "536E617047656E65"), F.lit("snapgene"))
         .when(opening.startswith("LOCUS"), F.lit("genbank")).when(opening.startswith(">"), F.lit("fasta"))

@@ -61,3 +61,15 @@ def test_feature_projection(spark):
         assert rows(mapped.where("record_id = 'r'"), "interval_id", "retained_bases") == [("fragment-0001", 2), ("fragment-0002", 6)]
         split = mapped.where("record_id = 'c'").collect()
         assert len(split) == 1 and split[0].complete and split[0].split_source_parts == [0]
+
+
+def test_classes_of_a_thousand_ends(spark):
+    ends = spark.range(1000).selectExpr(
+        "'g' as group_id", "if(id % 2 = 0, 'five_prime', 'blunt') as polarity", "if(id % 2 = 0, 'AATT', '') as overhang", "cast(id as string) as end_id")
+    got = {(r.first_polarity, r.second_polarity): (r.pairs, r.compatible) for r in E.end_pair_classes(ends).collect()}
+    assert got == {("blunt", "blunt"): (124750, True), ("blunt", "five_prime"): (250000, False), ("five_prime", "five_prime"): (124750, True)}
+
+
+def test_plan_of_two_hundred_components_is_not_refused(spark):
+    plan = spark.range(200).selectExpr("'p' as plan_id", "id as ord", "cast(id + 1 as int) as input", "200 as inputs", "'fragment-0001' as fragment_id")
+    assert L.plan_rejects(plan).count() == 0

@@ -139,3 +139,71 @@ def test_edits_and_integrity(spark):
     assert {q.key: q.value for q in added.where("label = 'cds'").collect()[0].qualifiers}["translation"] == "MK"
     assert warnings.count() == 0 and P.edit_rejects(edits, table).count() == 1
     assert P.integrity_report(table, added, p.withColumn("start", F.col("start") + 12)).count() >= 1
+
+
+def test_equal_records_of_one_fasta_have_ids_of_their_own(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x\nAAAGAATTCTTT\n>x\nAAAGAATTCTTT\n")
+    read = S.read_fasta(spark, str(tmp_path / "a.fa"))
+    ids = [r.record_id for r in read.records.collect()]
+    assert len(ids) == 2 and len(set(ids)) == 2
+
+
+def test_fasta_without_header_is_refused_as_a_whole(spark, tmp_path):
+    (tmp_path / "bad.fa").write_text("ACGTACGT\nGGTTGGTT\n>x\nACGT\n")
+    (tmp_path / "good.fa").write_text("\n>y\nACGT\n")
+    read = S.read_fasta(spark, str(tmp_path / "*.fa"))
+    assert rows(read.records, "name", "sequence") == [("y", "ACGT")]
+    assert {r.source_path.rsplit("/", 1)[1] for r in read.rejects.collect()} == {"bad.fa"}
+
+
+def test_lone_quote_costs_its_own_qualifier_only(spark, tmp_path):
+    body = """LOCUS       T 20 bp DNA linear
+FEATURES             Location/Qualifiers
+     gene            1..4
+                     /gene="one"
+                     /note=5" end
+     gene            5..8
+                     /note="a /slash=1
+                     /line and ""quoted"" words"
+                     /gene="two"
+     gene            9..12
+                     /gene="three"
+ORIGIN
+        1 acgtacgtac gtacgtacgt
+//
+"""
+    (tmp_path / "q.gb").write_text(body)
+    read = S.read_genbank(spark, str(tmp_path / "q.gb"))
+    assert sorted(r.label for r in read.features.collect()) == ["one", "three", "two"]
+    notes = [q.value for f in read.features.where("label = 'two'").collect() for q in f.qualifiers if q.key == "note"]
+    assert notes == ['a /slash=1 /line and "quoted" words']
+
+
+def test_sniffing_reads_past_any_number_of_blanks(spark, tmp_path):
+    (tmp_path / "blank.dna").write_bytes(b" " * 10_000 + b"LOCUS x")
+    (tmp_path / "bundle.json").write_text('{"sequence": "%s", "format": "toy-locus"}' % ("ACGT" * 3000))
+    found = {r.source_path.rsplit("/", 1)[1]: r.format for r in B.sniff(B.list_files(spark, str(tmp_path))).collect()}
+    assert found == {"blank.dna": "genbank", "bundle.json": "locus"}
+
+
+def test_import_of_all_formats_with_rejects_and_skips(spark, tmp_path):
+    (tmp_path / "a.dna").write_bytes(snapgene(xml=b'<Features><Feature name="cut" directionality="1"><Segment range="2-16"/><Segment range="1-900"/></Feature>'
+                                                 b'<Feature name="whole" directionality="1"><Segment range="2-16"/></Feature></Features>'))
+    (tmp_path / "l.json").write_text('{"format":"toy-locus","version":1,"sequence":"%s","gene":{"symbol":"G","strand":"+"},"transcripts":[{"transcript_id":"T1",'
+                                     '"exons":[[2,30]],"cds":[],"evidence":{"state":"discoverable"}}],"panel":{}}' % ("ACGTTGCA" * 5))
+    (tmp_path / "bad.json").write_text('{"format":"toy-locus","version":7,"sequence":"ACGT"}')
+    (tmp_path / "bad.fa").write_text("ACGT\n")
+    found, rejects, skipped = jobs.import_files(B.list_files(spark, str(tmp_path)))
+    assert sorted(r.label for r in found.collect()) == ["T1", "whole"]
+    assert {r.source_path.rsplit("/", 1)[1] for r in rejects.collect()} == {"bad.json", "bad.fa"}
+    assert [(r.skip_reason, r.features) for r in skipped.collect()] == [("incomplete_location", 1)]
+
+
+def test_edit_through_the_origin_with_a_long_kind(spark):
+    table = records(spark, ("r", "ATGAAATAGCCCCCC", "circular"))
+    edits = spark.createDataFrame(
+        [("r", 1, "x", "a_kind_of_many_letters", None, 12, 0, "forward", False, 1, 1, None), ("r", 2, "y", "misc", None, 0, 9, "forward", True, 1, 1, None)],
+        "record_id string, edit_ord int, label string, kind string, color string, start bigint, end bigint, strand string, translate boolean, codon_start int, transl_table int, note string")
+    old = spark.createDataFrame([], "record_id string, feature_id string, feature_ord int")
+    added, p, _ = P.add_features(edits, table, old)
+    assert rows(added, "label", "kind") == [("x", "a_kind_of_many_letters"), ("y", "CDS")] and rows(p, "start", "length") == [(0, 9), (12, 3)]
