@@ -107,9 +107,10 @@ def kmer_share(short, long, k: int, both_strands: bool = True) -> Column:
     if both_strands:
         pool = F.concat(pool, kmers(F.reverse(F.translate(long, "ACGT", "TGCA")), k))
     windows = kmers(short, k)
-    known = F.array_distinct(pool)
-    hits = F.size(F.filter(windows, lambda w: F.array_contains(known, w)))
-    return F.when(F.size(windows) > 0, hits / F.size(windows)).otherwise(F.lit(0.0))
+    # Hash-based set operations: windows that don't occur are taken out, repeated ones counted by their distinct text.
+    missing = F.array_except(windows, pool)
+    lost = F.when(F.size(missing) == 0, F.lit(0)).otherwise(F.size(F.filter(windows, lambda w: F.array_contains(missing, w))))
+    return F.when(F.size(windows) > 0, (F.size(windows) - lost) / F.size(windows)).otherwise(F.lit(0.0))
 
 
 def fold_name(s: ColumnOrName) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["restriction", "ligation", "annotation", "translation", "library", "assembly", "sources", "isoform"]
+AREAS = ["restriction", "ligation", "annotation", "translation", "library", "assembly", "sources", "isoform", "reading", "kernel"]
 
 
 def all_queries():
