@@ -9,6 +9,7 @@ perplexity leaves the quantiles that held-out trusted documents of its language
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +128,22 @@ class Model:
         return lower.select("gram", F.log("p").alias("logp"))
 
 
+def _packed(batches):
+    """Texts squeezed one by one: they are shuffled twice, which is most of what the scoring writes to disk."""
+    for batch in batches:
+        packed = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), batch.column("shard"), pa.array(packed, pa.binary())],
+            names=["doc_id", "text_key", "shard", "packed"],
+        )
+
+
+def _texts(rows: pa.Table) -> list[str | None]:
+    return [None if p is None else zlib.decompress(p).decode("utf-8", "surrogatepass") for p in rows.column("packed").to_pylist()]
+
+
 def _distinct(rows: pa.Table) -> pa.Table:
-    kinds = [np.unique(g) for g, _ in gram_chunks(rows.column("text").to_pylist())]
+    kinds = [np.unique(g) for g, _ in gram_chunks(_texts(rows))]
     grams = np.unique(np.concatenate(kinds))
     return pa.table({"shard": pa.array(np.full(len(grams), rows.column("shard")[0].as_py(), dtype=np.int32)), "gram": pa.array(grams)})
 
@@ -140,7 +155,7 @@ def _scored(rows: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     tokens, sums = [], []
-    for grams, lengths in gram_chunks(rows.column("text").to_pylist()):
+    for grams, lengths in gram_chunks(_texts(rows)):
         total = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(keys, grams)])])
         ends = np.cumsum(lengths)
         tokens.append(lengths)
@@ -158,10 +173,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     dealt = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), "text").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int")
     )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = dealt.mapInArrow(_packed, f"doc_id {kind}, text_key long, shard int, packed binary")
     sent = keep(dealt.groupBy("shard").applyInArrow(_distinct, "shard int, gram long"))
     known = model.log_probabilities(sent.select("gram").distinct())
     back = sent.join(known, "gram").select("shard", "gram", "logp")
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_scored, f"doc_id {kind}, text_key long, tokens long, logp double")
 
 
