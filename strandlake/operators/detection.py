@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import kmers, span_within
-from strandlake.operators.spans import TILE, attach_bases, tile_records
+from strandlake.operators.spans import TILE, attach_bases, tile_records, with_seed
 from strandlake.session import cut_lineage
 
 MIN_LENGTH = 12
@@ -54,7 +54,7 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     )
     start = F.col("place") - F.col("offset")
     hits = (
-        places.join(seeds, "seed")
+        with_seed(places, seeds).join(seeds, "seed")
         .withColumn("start", F.when(F.col("topology") == "circular", F.pmod(start, F.col("n"))).otherwise(start))
         .where("length <= n and start >= 0 and (topology = 'circular' or start + length <= n)")
         .drop("seed", "place", "offset")
