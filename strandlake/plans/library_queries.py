@@ -126,12 +126,15 @@ def library_curated(spark, sf_dir):
 @query(
     "library_info",
     with_ctes(*_LIB, _CURATED_SQL, """
-SELECT CAST(count(*) FILTER (status <> 'hidden') AS BIGINT) AS features, CAST(count(*) FILTER (status = 'curated') AS BIGINT) AS curated,
+SELECT CAST(count(*) FILTER (status <> 'hidden') AS BIGINT) AS features, CAST(count(*) FILTER (status = 'imported') AS BIGINT) AS families, CAST(count(*) FILTER (status = 'curated') AS BIGINT) AS curated,
        CAST(count(*) FILTER (status = 'hidden') AS BIGINT) AS hidden,
        CAST((SELECT count(DISTINCT source_path) FROM occurrences) AS BIGINT) AS sources, CAST((SELECT count(*) FROM occurrences) AS BIGINT) AS occurrences FROM curated"""),
 )
 def library_info(spark, sf_dir):
-    return L.library_info(*_curated(spark, sf_dir)).drop("families")
+    rows, occ = _curated(spark, sf_dir)
+    # Curated parts stand for members of a family, the others head their own.
+    families = rows.withColumn("family_id", F.when(F.col("status") == "curated", F.lit("a head")).otherwise(F.col("library_id")))
+    return L.library_info(families, occ)
 
 
 @query(

@@ -153,7 +153,8 @@ valid AS (SELECT *, CASE WHEN e > s THEN e - s ELSE n - s + e END AS w FROM aske
 seqs AS (SELECT record_id, frame, CASE WHEN back THEN reverse(translate(substr(sequence || sequence, CAST(s + 1 AS BIGINT), w), 'ACGT', 'TGCA'))
                            ELSE substr(sequence || sequence, CAST(s + 1 AS BIGINT), w) END AS q FROM valid),
 cods AS (SELECT record_id, i, substr(q, frame + 1 + 3 * i, 3) AS codon FROM seqs, range(0, 171) r(i) WHERE frame + 3 * i + 3 <= length(q))""",
-              f"SELECT record_id, string_agg({_amino('codon')}, '' ORDER BY i) AS protein FROM cods GROUP BY record_id"),
+              f"""SELECT a.record_id, p.protein, v.record_id IS NULL OR p.protein IS NULL AS refused FROM asked a LEFT JOIN valid v USING (record_id)
+LEFT JOIN (SELECT record_id, string_agg({_amino('codon')}, '' ORDER BY i) AS protein FROM cods GROUP BY record_id) p USING (record_id)"""),
 )
 def translate_ranges(spark, sf_dir):
     asked = constructs(spark, sf_dir).selectExpr(
@@ -161,7 +162,8 @@ def translate_ranges(spark, sf_dir):
         "if(record_id % 2 = 1 and record_id % 5 = 0 or record_id % 4 = 0, 'reverse', 'forward') as strand",
         "cast(record_id % 3 as int) as frame", "1 as table_id",
     )
-    return T.translate_ranges(asked, constructs(spark, sf_dir)).where("error is null").select("record_id", "protein")
+    return T.translate_ranges(asked, constructs(spark, sf_dir)).select(
+        "record_id", F.when(F.col("error").isNull(), F.col("protein")).alias("protein"), F.col("error").isNotNull().alias("refused"))
 
 
 @query(
