@@ -23,7 +23,7 @@ def plan_rejects(plan: DataFrame) -> DataFrame:
     )
     reason = (
         F.when(F.col("inputs") < 1, F.lit("a plan needs an input digest"))
-        .when(F.col("stray"), F.lit("invalid input number or empty fragment id"))
+        .when(F.col("stray"), F.lit("a component names no input or no fragment"))
         .when(F.col("reuse") > 1, F.lit("fragment reused"))
     )
     return shape.select("plan_id", reason.alias("reason")).where("reason is not null")
@@ -110,8 +110,8 @@ def ligation_outcomes(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     misfit = F.when(~open_end & ~fits(fit), F.struct("place", fit.alias("why")))
     grouped = linked.groupBy("plan_id").agg(
         F.max("topology").alias("topology"),
-        F.min(F.when(~F.col("exists"), F.lit("selected fragment does not exist"))
-              .when(F.col("left").isNull(), F.lit("uncut circular fragments have no free ends"))).alias("unusable"),
+        F.min(F.when(~F.col("exists"), F.lit("no such fragment in the digest"))
+              .when(F.col("left").isNull(), F.lit("an uncut circle has no ends to join"))).alias("unusable"),
         F.min(misfit).alias("misfit"),
         F.sum(F.length("top")).alias("top_bases"), F.sum(F.length("bottom")).alias("bottom_bases"),
         F.array_sort(F.collect_list(F.struct("place", "top", "bottom", "left", "right"))).alias("c"),
