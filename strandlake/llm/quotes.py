@@ -114,6 +114,35 @@ def _threaded(linked: DataFrame) -> DataFrame:
     )
 
 
-@query("op4_quote_threads")
+SQL = r"""
+WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, text FROM conversations),
+split_ AS (SELECT uid, conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM rows_),
+cut AS (SELECT uid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM split_),
+told AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+                trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '')), '\s+', ' ', 'g')) AS said FROM cut),
+turned AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY uid ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM told),
+lines AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY line_no) AS passage FROM turned),
+own AS (SELECT * FROM lines WHERE level = 0 AND said <> '' AND turn IS NOT NULL),
+here AS (SELECT conv_id, said, min(turn) AS here_turn FROM own GROUP BY ALL),
+everywhere AS (SELECT said, conv_id AS first_conv, turn AS first_turn FROM own WHERE conv_id IS NOT NULL
+               QUALIFY row_number() OVER (PARTITION BY said ORDER BY turn, conv_id) = 1),
+origins AS (SELECT q.uid, q.passage, q.level, CASE WHEN here_turn IS NOT NULL THEN q.conv_id ELSE first_conv END AS origin_conv, coalesce(here_turn, first_turn) AS origin_turn
+            FROM lines q LEFT JOIN here h ON q.said = h.said AND q.conv_id IS NOT DISTINCT FROM h.conv_id AND h.here_turn < q.turn LEFT JOIN everywhere e ON q.said = e.said
+            WHERE q.level = 1 AND q.said <> '' AND (here_turn IS NOT NULL OR (first_turn IS NOT NULL AND first_conv IS DISTINCT FROM q.conv_id))),
+votes AS (SELECT uid, passage, origin_conv, origin_turn, count(*) AS n FROM origins GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY uid, passage ORDER BY n DESC, origin_turn, origin_conv DESC NULLS LAST) = 1),
+parents AS (SELECT uid, origin_conv, origin_turn FROM best QUALIFY row_number() OVER (PARTITION BY uid ORDER BY passage) = 1),
+facts AS (SELECT uid, CAST(count(*) FILTER (level > 0) AS BIGINT) AS n_quoted, CAST(max(level) AS INTEGER) AS max_level,
+                 trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (level = 0), '')) AS kept FROM lines GROUP BY uid),
+linked AS (SELECT r.*, n_quoted, max_level, CASE WHEN n_quoted > 0 THEN kept ELSE text END AS shown, origin_conv, origin_turn
+           FROM rows_ r JOIN facts USING (uid) LEFT JOIN parents USING (uid)),
+steps AS (SELECT conv_id, turn, min(origin_turn) AS up FROM linked WHERE origin_conv IS NOT DISTINCT FROM conv_id AND origin_turn < turn GROUP BY ALL),
+walk AS (SELECT conv_id, turn, up AS root FROM steps UNION SELECT w.conv_id, w.turn, s.up FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.turn = w.root),
+tops AS (SELECT conv_id, turn, min(root) AS root FROM walk GROUP BY ALL)
+SELECT l.conv_id, l.turn, l.role, l.shown AS text, n_quoted, max_level, origin_conv AS reply_conv, origin_turn AS reply_turn, coalesce(t.root, l.turn) AS thread_turn
+FROM linked l LEFT JOIN tops t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.turn = t.turn"""
+
+
+@query("op4_quote_threads", SQL)
 def run(spark, sf_dir):
     return conversations(table(spark, sf_dir, "conversations"))

@@ -1,3 +1,6 @@
+import duckdb
+import pandas as pd
+
 from strandlake.llm import quotes
 
 ROWS = [
@@ -46,3 +49,16 @@ def test_long_reply_chain_has_one_root(spark):
 
 def test_no_rows(spark):
     assert quotes.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sql_gives_the_same_rows(spark):
+    long = [(8, 0, "u", "line 0")] + [(8, t, "u", f"> line {t - 1}\n>> line 0\nline {t}") for t in range(1, 20)]
+    rows = ROWS + long + [(9, 0, "u", "> line 3\r\n> line 4\rtail"), (9, 1, "u", ">only")]
+    con = duckdb.connect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", conversations)
+    cursor = con.execute(quotes.SQL)
+    names = [d[0] for d in cursor.description]
+    out = quotes.conversations(spark.createDataFrame(rows, SCHEMA))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(key, cursor.fetchall())) == sorted(key([r[n] for n in names]) for r in out.collect())
