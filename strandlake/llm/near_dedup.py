@@ -191,6 +191,20 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left_anti")
 
 
-@query("op7_coordinate_join")
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM words),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM grams),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(coalesce(l.b, w.doc_id), w.doc_id) AS component_id, least(coalesce(l.b, w.doc_id), w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_ l ON l.a = w.doc_id"""
+
+
+@query("op7_coordinate_join", SQL)
 def run(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
