@@ -14,7 +14,7 @@ HEADLINE = [
     "restriction_sites", "restriction_enzyme_counts", "digest_fragments", "end_partner_counts", "ligation_products",
     "feature_sequences", "translate_all_cds", "six_frames", "open_reading_frames", "library_features",
     "annealing_temperatures", "isoform_expression", "fasta_records", "annotated_digest",
-    "detect_features", "binding_sites", "assembly_products", "library_families", "primer_pairs_ranked", "assembly_optimised_primers",
+    "detect_features", "binding_sites", "assembly_products", "assembly_optimised_primers", "library_families",
 ]
 
 
