@@ -5,8 +5,9 @@ Every distinct shingle set is posted under each (coordinate, value) of its signa
 ``coordinates - agree + 1`` rarest postings (prefix), and a set with fewer than ``agree`` shared postings can be skipped.
 
 Long postings don't become all pairs. A round takes one hub of each posting and compares the others with it; links found
-are contracted, and only postings that still hold several components go on. Rounds with changing hubs leave few such
-members; what is left is compared pair by pair across components, so no link that matters to a component is lost.
+are contracted, and only postings that still hold several components go on. The sets that are left in those are joined
+across components on the rarest of their own shingles, as many as a pair above the threshold can't do without, so no link
+that matters to a component is lost, and texts that are alike but not enough meet only if they share what is rare in them.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ WIDTH = 5
 COORDINATES = 64
 #: Of 64 coordinates of a pair at similarity 0.85, 54.4 agree on average with a deviation of 2.9: 40 lie five deviations below.
 AGREE = 40
-#: Rounds against one hub a posting before the rest is compared pair by pair.
-HUB_ROUNDS = 3
+#: Rounds against one hub a posting before the rest is joined on its own shingles.
+HUB_ROUNDS = 2
 #: Members of a hub that are compared in one group.
 GROUP = 512
 
@@ -58,7 +59,10 @@ def signed(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES)
 
 
 def prefix_postings(sets: DataFrame, coordinates: int, agree: int) -> DataFrame:
-    """``(posting, node)``: the rarest shared postings of each set that could agree with another one often enough."""
+    """``(posting, node, weight)``: the rarest shared postings of each set that could agree with another one often enough.
+
+    ``weight`` sums how many sets share the set's postings: in a group of near copies it is largest at their original.
+    """
     posted = sets.select("node", F.posexplode("signature").alias("i", "v")).select(
         "node", (F.col("i").cast("long") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("posting")
     )
@@ -66,7 +70,8 @@ def prefix_postings(sets: DataFrame, coordinates: int, agree: int) -> DataFrame:
     shared = posted.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
     by_set = posted.join(shared, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("p"))
     rare = F.slice("p", F.lit(1), F.size("p") - (agree - 1))
-    return by_set.where(F.size("p") >= agree).select("node", F.explode(rare).alias("p")).select("p.posting", "node")
+    weight = F.expr("aggregate(p, 0L, (s, x) -> s + x.n)").alias("weight")
+    return by_set.where(F.size("p") >= agree).select("node", weight, F.explode(rare).alias("p")).select("p.posting", "node", "weight")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, agree: int) -> DataFrame:
@@ -106,9 +111,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return grouped.groupBy("a", "g").applyInPandas(compare, "a long, b long")
 
 
+def _rest_pairs(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``rest(node, component)`` from different components that may reach ``percent``: an exact filter.
+
+    Shingles are ordered by how many sets of the rest have them. A set x that shares enough with a set y no larger meets
+    it within the first ``|x| - t|x| + 1`` of its own and the first ``|y| - 2t/(1+t)|y| + 1`` of y's shingles, at places
+    behind which enough is left of both.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            sets = list(shingles.shingle_sets(batch.column("text").to_pylist(), width))
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(at), batch.column("component").take(at), pa.array(np.repeat(sizes, sizes)),
+                 pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))],
+                names=["node", "component", "size", "shingle"],
+            )
+
+    rows = keep(texts.join(rest, "node").select("node", "component", "text").mapInArrow(spread, "node long, component long, size long, shingle long"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # Shingles of one set only come first in its order, so only their number matters.
+    by_set = (
+        rows.join(shared, "shingle").groupBy("node", "component", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+        .withColumn("own", F.col("size") - F.size("s"))
+    )
+    probe = F.expr(f"size - cast(ceil({percent} * size / 100) as bigint) + 1 - own")
+    index = F.expr(f"size - cast(ceil(2 * {percent} * size / (100 + {percent}) - 1e-9) as bigint) + 1 - own")
+    place = by_set.select(
+        "node", "component", "size", "own", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)).cast("int"))).alias("i", "s")
+    )
+    x = keep(place.select("node", "component", "size", "i", (F.col("size") - F.col("own") - F.col("i")).alias("left"), "s.shingle", (F.col("i") < F.col("index")).alias("indexed")))
+    y = x.where("indexed").select(*[F.col(c).alias(f"y_{c}") for c in ("node", "component", "size", "i", "left")], "shingle")
+    near = f"""component != y_component and y_size <= size and y_size * 100 >= size * {percent}
+               and (least(i, y_i) + least(left, y_left)) * (100 + {percent}) >= {percent} * (size + y_size)"""
+    return x.join(y, "shingle").where(near).select(F.col("node").alias("a"), F.col("y_node").alias("b"))
+
+
 def _labelled(postings: DataFrame, found: DataFrame) -> DataFrame:
     """Postings with the component of each node so far, those that hold one component only left out."""
-    now = postings.join(found, "node", "left").select("posting", "node", F.coalesce("component", "node").alias("component"))
+    now = postings.join(found, "node", "left").select("posting", "node", "weight", F.coalesce("component", "node").alias("component"))
     open_ = now.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("posting")
     return now.join(open_, "posting")
 
@@ -136,19 +180,21 @@ def links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, perc
         if found is not None and rows.isEmpty():
             break
         if last:
-            one, two = rows.alias("one"), rows.alias("two")
-            pairs = one.join(two, "posting").where("one.component < two.component").select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+            pairs = _rest_pairs(rows.select("node", "component").distinct(), texts, width, percent)
         else:
-            # The first hub is the smallest node, later ones change by a hash.
-            mark = F.col("node") if number == 0 else F.xxhash64("node", F.lit(number))
-            hubs = rows.groupBy("posting").agg(F.min_by(F.struct("node", "component"), mark).alias("hub"))
+            # The hub is the heaviest set; once it has its links, the heaviest of those outside its component.
+            heaviest = F.max_by(F.struct("node", "component"), F.struct("weight", (-F.col("node")).alias("m"))).alias("hub")
+            for _ in range(number):
+                rows = rows.join(rows.groupBy("posting").agg(heaviest), "posting").where("component <> hub.component").drop("hub")
+            hubs = rows.groupBy("posting").agg(heaviest)
             pairs = rows.join(hubs, "posting").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        new = keep(_confirmed(_agreeing(pairs, marked, agree), texts, width, percent))
+        near = pairs if last else _agreeing(pairs, marked, agree)
+        new = keep(_confirmed(near, texts, width, percent))
         edges = new if edges is None else edges.union(new)
         found = components(edges.toDF("src", "dst"))
     return found
