@@ -21,13 +21,11 @@ from strandlake.llm.catalog import query
 from strandlake.llm.common import keep, row_key, table
 from strandlake.session import ship_package
 
-ORDER = 4
+ORDER = 5
 #: Bits of a token. Code points below FOLD are tokens themselves, all others share the ids above it by remainder.
 TOKEN_BITS, FOLD = 12, 4000
 MASK = (1 << TOKEN_BITS) - 1
 START, END, OTHER = 2, 3, 0
-#: The model is fitted on at most so many trusted documents, those with the smallest hashes of their ids.
-TRUSTED_ROWS = 200_000
 #: One trusted document in so many is held out to measure quantiles.
 HELD_OUT = 5
 #: Bytes of text in a shard, characters that are scored in one go.
@@ -132,13 +130,16 @@ def _packed(batches):
     """Texts squeezed one by one: they are shuffled twice, which is most of what the scoring writes to disk."""
     for batch in batches:
         packed = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), batch.column("shard"), pa.array(packed, pa.binary())],
-            names=["doc_id", "text_key", "shard", "packed"],
-        )
+        others = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(packed, pa.binary())], names=[*others, "packed"])
 
 
-def _texts(rows: pa.Table) -> list[str | None]:
+def _unpacked(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_texts(batch), pa.string())], names=["text"])
+
+
+def _texts(rows: pa.Table | pa.RecordBatch) -> list[str | None]:
     return [None if p is None else zlib.decompress(p).decode("utf-8", "surrogatepass") for p in rows.column("packed").to_pylist()]
 
 
@@ -181,14 +182,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_scored, f"doc_id {kind}, text_key long, tokens long, logp double")
 
 
-def trusted_roles(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``(doc_id, held_out)`` of at most ``rows`` trusted documents."""
+def trusted_roles(labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out)`` of all trusted documents."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    mark = F.xxhash64("doc_id", F.lit("trusted"))
-    return good.orderBy(mark, "doc_id").limit(rows).select("doc_id", (F.pmod(mark, F.lit(HELD_OUT)) == 0).alias("held_out"))
+    return good.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(HELD_OUT)) == 0).alias("held_out"))
+
+
+def trusted_texts(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``text`` of all documents the model is fitted on; the join may shuffle texts, so they go through it squeezed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    squeezed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, packed binary")
+    return squeezed.join(roles.where("not held_out"), "doc_id").select("packed").mapInArrow(_unpacked, "text string")
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, text_key, lang, tokens, perplexity, score, low, high, kept``.
 
     ``score`` is the mean surprise of a token in nats, drawn towards the language's mean in short texts; a document is
@@ -199,10 +206,8 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROW
     """
     ship_package(docs.sparkSession)
     read = docs.select("doc_id", "lang", "text")
-    roles = keep(trusted_roles(labels, trusted_rows))
-    # At most TRUSTED_ROWS ids: a few MB whatever the corpus.
-    training = read.join(F.broadcast(roles.where("not held_out")), "doc_id")
-    model = Model(training)
+    roles = keep(trusted_roles(labels))
+    model = Model(trusted_texts(read, roles))
     facts = keep(read.select("doc_id", row_key(F.col("text")).alias("text_key"), "lang").dropDuplicates(["doc_id", "text_key", "lang"]))
     scored = keep(score(read, model).withColumn("surprise", -F.col("logp") / F.col("tokens")))
     same = F.expr("doc_id <=> _id and text_key = _key")
@@ -210,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROW
         facts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce("lang", F.lit("")).alias("_lang"), "lang")
         .groupBy("_id", "_key").agg(F.min("_lang").alias("_lang"), F.min("lang").alias("lang")), same, "left",
     ).drop("_id", "_key")
-    held = keep(named.join(F.broadcast(roles.where("held_out")).select("doc_id"), "doc_id", "left_semi"))
+    held = keep(named.join(roles.where("held_out").select("doc_id"), "doc_id", "left_semi"))
     weigh = lambda mean: (F.col("surprise") * F.col("tokens") + F.lit(float(PRIOR)) * mean) / (F.col("tokens") + PRIOR)
     overall = held.agg(F.avg("surprise").alias("mean")).first().mean
     if overall is None:
@@ -231,9 +236,9 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROW
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    gone = classify(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    gone = classify(docs, labels).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left_anti")
 
 

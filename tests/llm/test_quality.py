@@ -78,3 +78,14 @@ def test_long_text_and_chunks_agree():
     one = [g.sum() for g, _ in quality.gram_chunks([text, "x"])]
     sizes = [n.tolist() for _, n in quality.gram_chunks([text, "x", None])]
     assert sum(sizes, []) == [len(text) + 1, 2, 1] and len(one) == 2
+
+
+def test_all_trusted_documents_are_fitted_or_held_out(spark, docs_of):
+    n = 200_500
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    roles = quality.trusted_roles(labels)
+    held = roles.where("held_out").count()
+    assert roles.count() == n and abs(held - n / 5) < 2000
+    docs = docs_of({1: "abc", 2: None, n + 1: "not trusted", None: "no id"})
+    fitted = roles.where("doc_id in (1, 2)").selectExpr("doc_id", "false as held_out")
+    assert sorted(x.text or "" for x in quality.trusted_texts(docs, fitted).collect()) == ["", "abc"]
