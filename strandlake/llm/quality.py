@@ -30,8 +30,11 @@ START, END, OTHER = 2, 3, 0
 HELD_OUT = 5
 #: Bytes of text in a shard, characters that are scored in one go.
 SHARD, CHUNK = 8 << 20, 1 << 20
-#: Quantiles of held-out documents, and how far a document may go beyond them, in distances of the quantile from the median.
-LOW, HIGH, SLACK = 0.01, 0.99, 1.5
+#: Quantiles of held-out documents that a document must lie between.
+LOW, HIGH = 0.01, 0.99
+#: Fewer held-out documents than this hold no such quantile, only their extremes, which are then moved outwards by so many
+#: distances from the median.
+RESOLVED, SLACK = 100, 1.5
 #: A short text is drawn towards its language's mean by so many tokens.
 PRIOR = 60
 #: Held-out documents that a language needs for quantiles of its own.
@@ -222,7 +225,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         none = F.lit(None).cast("double")
         return named.select("doc_id", "text_key", "lang", "tokens", F.exp("surprise").alias("perplexity"), F.col("surprise").alias("score"), none.alias("low"), none.alias("high"), F.lit(True).alias("kept"))
     at = lambda q: F.percentile_approx("score", q, 100_000)
-    cuts = [(at(q) + SLACK * (at(q) - at(0.5))).alias(n) for n, q in (("low", LOW), ("high", HIGH))]
+    beyond = F.when(F.count("score") < RESOLVED, SLACK).otherwise(0.0)
+    cuts = [(at(q) + beyond * (at(q) - at(0.5))).alias(n) for n, q in (("low", LOW), ("high", HIGH))]
     means = held.groupBy("_lang").agg(F.avg("surprise").alias("mean"), F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("_lang", "mean")
     shrunk = held.join(means, "_lang", "left").withColumn("score", weigh(F.coalesce("mean", F.lit(overall))))
     by_lang = keep(means.join(shrunk.groupBy("_lang").agg(*cuts), "_lang"))

@@ -89,3 +89,14 @@ def test_all_trusted_documents_are_fitted_or_held_out(spark, docs_of):
     docs = docs_of({1: "abc", 2: None, n + 1: "not trusted", None: "no id"})
     fitted = roles.where("doc_id in (1, 2)").selectExpr("doc_id", "false as held_out")
     assert sorted(x.text or "" for x in quality.trusted_texts(docs, fitted).collect()) == ["", "abc"]
+
+
+def test_the_cut_is_the_quantile_where_the_sample_holds_it(spark, docs_of):
+    r = random.Random(4)
+    docs = docs_of({i: words(r, r.randrange(40, 120)) for i in range(700)})
+    labels = spark.range(700).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    held = {x.doc_id for x in quality.trusted_roles(labels).where("held_out").collect()}
+    got = quality.classify(docs, labels).collect()
+    scores = sorted(x.score for x in got if x.doc_id in held)
+    assert len(scores) >= quality.RESOLVED
+    assert scores[0] <= got[0].low <= scores[3] and scores[-4] <= got[0].high <= scores[-1]
