@@ -2,14 +2,17 @@
 
 A token's encoding is the smallest alphabet that holds it. Against uniform random symbols of that alphabet stand three
 tests: chi-squared of the symbols (and of the kinds of symbols), runs above and below the alphabet's middle, and serial
-correlation of neighbours. Fisher's method joins them to one p-value: high for keys, low for words. Long tokens of letters
-alone serve as the null sample of ordinary text. A token is reported where the share of the null sample of its length or
-shorter with at least its p-value passes Benjamini and Hochberg's rule among the tokens of its length band.
+correlation of neighbours. Fisher's method joins them to one p-value: high for keys, low for words. How high it gets for
+ordinary text (words, names, slugs, paths, numbers) of an encoding and length is known from a built-in reference, the same
+whatever the table. A token is reported where its chance among ordinary text passes Benjamini and Hochberg's rule among
+the tokens of its length band.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.catalog import query
@@ -27,9 +30,12 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ENCODINGS = (
     ("^[0-9a-f]+$", DIGITS + "abcdef"),
     ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
     ("^[A-Z2-7]+$", UPPER + "234567"),
     ("^[0-9a-z]+$", DIGITS + LOWER),
     ("^[0-9A-Z]+$", DIGITS + UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("", UPPER + LOWER + DIGITS + "+/-_"),
@@ -37,7 +43,21 @@ ENCODINGS = (
 #: Share of false reports among the reported tokens of a length band.
 FALSE_SHARE = 0.05
 #: p-values are counted on a grid of this many steps of -ln p, each of this width.
-STEPS, STEP = 160, 0.125
+STEPS, STEP = 400, 0.125
+#: Ordinary text is made of these words and numbers, so many tokens of each style and length; longer tokens than these
+#: lengths are held against the longest, as short text looks more random.
+WORDS = (
+    "the of and to in is that for with on as are this by be from or at an was not have which one all new time page home user name "
+    "file data list view order number system report project version update default product image config service "
+    "der die und das von mit ist nicht auch werden haben eine durch unter zwischen straße "
+    "le la les des une dans pour que est pas sur avec plus jour maison toujours "
+    "el los las por con para una del como pero sus entre cuando ciudad trabajo"
+).replace("ß", "ss").split()
+NUMBERS = ("1", "2", "3", "7", "10", "12", "24", "42", "64", "100", "128", "2024", "2019", "365", "2567")
+HEX_WORDS = ("DEAD", "BEEF", "CAFE", "FACE", "0000", "FFFF", "00", "FF", "1234", "2024", "BAD", "FEED", "0001", "A0")
+REFERENCE, LENGTHS = 400, (20, 24, 28, 32, 40, 48, 64, 96)
+#: The spread of ordinary text is taken so much wider than that of the reference, whose words are few.
+WIDER = 1.25
 
 
 def _tail(z):
@@ -52,9 +72,14 @@ def _surprise(z, sides=2):
     return f"-ln(2D * {_tail(f'abs({z})')})"
 
 
+def _encoding(values):
+    """The value of the smallest alphabet that holds ``token``."""
+    return F.coalesce(*[F.when(F.rlike("token", F.lit(p)), F.lit(v)) for (p, _), v in zip(ENCODINGS[:-1], values)], F.lit(values[-1]))
+
+
 def randomness(tokens: DataFrame) -> DataFrame:
     """Add ``surprise``, -ln of the joint p-value that the symbols of ``token`` are uniform and independent."""
-    alphabet = F.coalesce(*[F.when(F.rlike("token", F.lit(p)), F.lit(a)) for p, a in ENCODINGS[:-1]], F.lit(ENCODINGS[-1][1]))
+    alphabet = _encoding([a for _, a in ENCODINGS])
     chi = lambda x, df: f"((pow(({x}) / ({df}), 1D / 3) - (1D - 2D / (9D * ({df})))) / sqrt(2D / (9D * ({df}))))"
     kinds = "array(array(digits, length(regexp_replace(alphabet, '[^0-9]', ''))), array(lowers, length(regexp_replace(alphabet, '[^a-z]', ''))), array(uppers, length(regexp_replace(alphabet, '[^A-Z]', ''))))"
     steps = [
@@ -84,6 +109,47 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return out.select(*tokens.columns, "surprise")
 
 
+@functools.cache
+def ordinary() -> tuple[tuple[int, int, float, float], ...]:
+    """``(encoding, length, mean, deviation)`` of the root of the surprise of ordinary text; few rows, the same in any table."""
+    spark = SparkSession.active()
+    pick = lambda words, salt: F.expr(
+        f"transform(sequence(1, 60), i -> element_at(array({', '.join(repr(w) for w in words)}), cast(pmod(xxhash64(id, i, {salt}), {len(words)}) as int) + 1))"
+    )
+    mixed = "transform(w, (x, i) -> if(pmod(xxhash64(id, i, 3), 4) = 0, element_at(d, i + 1), x))"
+    names = "transform({0}, x -> initcap(x))"
+    styles = (
+        "array_join(h, '')", "array_join(w, '')", "upper(array_join(w, ''))", f"array_join({names.format('w')}, '')",
+        f"upper(array_join({mixed}, ''))", f"regexp_replace(upper(array_join({mixed}, '')), '[0189]', '')", f"array_join({mixed}, '')",
+        f"array_join({names.format(mixed)}, '')", f"array_join({mixed}, '-')", f"array_join({names.format(mixed)}, '_')",
+        f"array_join({mixed}, '/')", f"array_join({names.format(mixed)}, '/')",
+    )
+    made = (
+        spark.range(0, REFERENCE, 1, 2).select("id", pick(WORDS, 0).alias("w"), pick(NUMBERS, 1).alias("d"), pick(HEX_WORDS, 2).alias("h"))
+        .select(F.explode(F.array(*[F.expr(x) for x in styles])).alias("long")).select("long", F.explode(F.array(*map(F.lit, LENGTHS))).alias("length"))
+        .select("length", F.expr("substring(long, 1, length)").alias("token"))
+    )
+    found = randomness(made).withColumn("encoding", _encoding(list(range(len(ENCODINGS)))))
+    stats = found.groupBy("encoding", "length").agg(F.avg(F.sqrt("surprise")).alias("m"), F.stddev(F.sqrt("surprise")).alias("sd"), F.count("*").alias("n"))
+    return tuple((x.encoding, x.length, x.m, x.sd) for x in stats.where("n >= 30").collect())
+
+
+def strangeness(tokens: DataFrame) -> DataFrame:
+    """Add ``rarity``, -ln of the chance that ordinary text of the token's encoding and length looks so random."""
+    read = randomness(tokens).withColumn("encoding", _encoding(list(range(len(ENCODINGS)))))
+    best = {}
+    for encoding, length, m, sd in sorted(ordinary(), key=lambda x: x[1]):
+        best.setdefault(encoding, []).append((length, m, sd))
+    score = F.lit(0.0)
+    for encoding, rows in best.items():
+        z = F.lit(0.0)
+        for length, m, sd in rows:
+            z = F.when(F.length("token") >= length, (F.lit(m) - F.sqrt("surprise")) / (WIDER * sd)).otherwise(z)
+        score = F.when(F.col("encoding") == encoding, z).otherwise(score)
+    read = read.withColumn("z", F.greatest(score, F.lit(0.0)))
+    return read.select(*tokens.columns, F.expr(f"greatest(-ln({_tail('z')}), 0D)").alias("rarity"))
+
+
 def _hits(pattern):
     """Lengths of the text between the matches, and the matches."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
@@ -119,41 +185,30 @@ def find_spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> tuple[DataF
         for k, p, g, least in PATTERNS
     ])
     base = rows.where("kind <> 'random'").where(long_enough).select("uid", "kind", "start", "end")
-    tokens = randomness(rows.where("kind = 'random'")).select(
+    tokens = rows.where("kind = 'random'").select("uid", "kind", "start", "end", "token")
+    other = base.select(F.col("uid").alias("_uid"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    # Left out before the tests are counted, else hashes would make room for false reports.
+    tokens = strangeness(tokens.join(other, F.expr("uid = _uid and start < _end and _start < end"), "left_anti")).select(
         "uid", "kind", "start", "end",
-        (~F.rlike("token", F.lit("[0-9]"))).alias("ordinary"),
         F.least(F.floor(F.log2(F.length("token")) * 2), F.lit(40)).cast("int").alias("band"),
-        F.least(F.floor(F.col("surprise") / STEP), F.lit(STEPS)).cast("int").alias("step"),
+        F.least(F.floor(F.col("rarity") / STEP), F.lit(STEPS)).cast("int").alias("step"),
     )
-    spans = keep(base.withColumns({c: F.lit(None).cast(t) for c, t in (("ordinary", "boolean"), ("band", "int"), ("step", "int"))}).union(tokens))
+    spans = keep(base.withColumns({c: F.lit(None).cast("int") for c in ("band", "step")}).union(tokens))
     limits = _limits(spans, false_share)
-    limit = F.coalesce(*[F.when(F.col("band") == b, F.lit(s)) for b, s in limits.items()], F.lit(-1))
-    reported = spans.where("kind = 'random' and not ordinary").where(F.col("step") <= limit)
-    fixed = spans.where("kind <> 'random'")
-    other = fixed.select(F.col("uid").alias("_uid"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    free = reported.join(other, F.expr("uid = _uid and start < _end and _start < end"), "left_anti")
-    return found.select("uid", "doc_id", "text_key"), fixed.union(free).select("uid", "kind", "start", "end")
+    limit = F.coalesce(*[F.when(F.col("band") == b, F.lit(s)) for b, s in limits.items()], F.lit(STEPS + 1))
+    reported = spans.where("kind <> 'random'").union(spans.where("kind = 'random'").where(F.col("step") >= limit))
+    return found.select("uid", "doc_id", "text_key"), reported.select("uid", "kind", "start", "end")
 
 
 def _limits(spans: DataFrame, false_share: float) -> dict[int, int]:
-    """For each length band the largest step of -ln p that is reported; at most 41 rows come to the driver."""
-    counts = spans.where("kind = 'random'").groupBy("band", "step").agg(
-        F.count_if("ordinary").alias("null_n"), F.count_if(~F.col("ordinary")).alias("n")
-    )
-    grid = Window.partitionBy("band").orderBy("step")
-    shorter = counts.select(F.col("band").alias("_band"), F.col("step").alias("_step"), F.col("null_n").alias("_null"))
-    # The null sample of a band are ordinary tokens up to its length: shorter ones look more random, which errs on the safe side.
-    null = (
-        counts.join(shorter, F.col("_band") <= F.col("band")).groupBy("band", "step")
-        .agg(F.sum(F.when(F.col("_step") <= F.col("step"), F.col("_null"))).alias("below"), F.sum("_null").alias("all_null"))
-    )
+    """For each length band the least step of -ln p that is reported; at most 41 rows come to the driver."""
+    counts = spans.where("kind = 'random'").groupBy("band", "step").agg(F.count("*").alias("n"))
+    rarer = Window.partitionBy("band").orderBy(F.col("step").desc())
     ruled = (
-        counts.join(null, ["band", "step"])
-        .withColumn("found", F.sum("n").over(grid)).withColumn("tests", F.sum("n").over(Window.partitionBy("band")))
-        .where("found > 0")
-        .where((1 + F.coalesce("below", F.lit(0))) / (1 + F.col("all_null")) * F.col("tests") <= F.lit(false_share) * F.col("found"))
+        counts.withColumn("found", F.sum("n").over(rarer)).withColumn("tests", F.sum("n").over(Window.partitionBy("band")))
+        .where(F.exp(F.col("step") * -STEP) * F.col("tests") <= F.lit(false_share) * F.col("found"))
     )
-    return {r.band: r.step for r in ruled.groupBy("band").agg(F.max("step").alias("step")).collect()}
+    return {r.band: r.step for r in ruled.groupBy("band").agg(F.min("step").alias("step")).collect()}
 
 
 def _joined(spans):

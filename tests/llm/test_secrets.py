@@ -46,3 +46,20 @@ def test_redaction_joins_overlapping_spans_and_leaves_other_rows(spark, docs_of)
 
 def test_no_rows(spark, docs_of):
     assert secrets.scan(docs_of({}).limit(0)).count() == 0
+
+
+def drawn(alphabet, n=64):
+    r = random.Random(1)
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_one_key_in_a_table_without_long_words(spark, docs_of):
+    key = drawn(secrets.DIGITS + secrets.UPPER + secrets.LOWER)
+    got = secrets.scan(docs_of({1: f"one two {key} three", 2: "short words only"})).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in got} == {1: [("random", 8, 72)], 2: []}
+
+
+def test_letters_only_keys_are_tested_and_slugs_stay(spark, docs_of):
+    key, slug = drawn(secrets.UPPER + secrets.LOWER), "blog/how-to-read-the-annual-report-2024-and-what-it-says"
+    got = {r.doc_id: r.n_random for r in secrets.scan(docs_of({1: f"see {key}", 2: f"see {slug}", 3: "internationalizationframework"})).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
