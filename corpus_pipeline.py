@@ -15,7 +15,7 @@ def keep_readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.representatives(docs)
+    return near_dedup.representatives(docs, percent=PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+#: Near copies share 0.8 of their runs of five words or more; op7 has a contract of its own.
+PERCENT = 80
+
 STAGES = [
     ("quality classifier", keep_readable),
     ("near-duplicates", drop_near_copies),

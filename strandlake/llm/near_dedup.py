@@ -12,6 +12,8 @@ that matters to a component is lost, and texts that are alike but not enough mee
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,14 +27,25 @@ from strandlake.session import ship_package
 
 WIDTH = 5
 COORDINATES = 64
-#: Of 64 coordinates of a pair at similarity 0.85, 54.4 agree on average with a deviation of 2.9: 40 lie five deviations below.
-AGREE = 40
+#: A pair at the threshold agrees in fewer coordinates than are asked for with at most this probability.
+MISS = 1e-6
 #: Rounds against one hub a posting before the rest is joined on its own shingles.
 HUB_ROUNDS = 2
 #: Members of a hub that are compared in one group.
 GROUP = 512
 
 
+def least_agreeing(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The most coordinates that can be asked for so that a pair at ``percent`` is missed with probability ``miss`` at most."""
+    p, below, agree = percent / 100, 0.0, 0
+    while agree < coordinates:
+        below += comb(coordinates, agree) * p**agree * (1 - p) ** (coordinates - agree)
+        if below > miss:
+            break
+        agree += 1
+    return max(agree, 1)
+
+
 def signed(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id, text_key, n_shingles, k1, k2, signature``; equal sets share the keys, an empty set has a null signature."""
     ship_package(docs.sparkSession)
@@ -201,7 +214,7 @@ def links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, perc
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = 85, coordinates: int = COORDINATES, agree: int = AGREE
+    docs: DataFrame, width: int = WIDTH, percent: int = 85, coordinates: int = COORDINATES, agree: int | None = None
 ) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_shingles, component_id, kept``.
 
@@ -210,6 +223,7 @@ def near_duplicates(
     group, null if there is none, and is not kept unless it stands alone; rows that repeat an id are one document each
     with the same decision; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
+    agree = least_agreeing(percent, coordinates) if agree is None else agree
     rows = keep(signed(docs, width, coordinates).withColumn("uid", F.monotonically_increasing_id()))
     # Equal sets are one node: copies are never paired with each other.
     nodes = keep(

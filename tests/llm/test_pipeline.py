@@ -9,6 +9,7 @@ from tests.llm.test_packing import ids_of
 from tests.llm.test_quality import words
 
 import corpus_pipeline
+from strandlake.llm import near_dedup
 from strandlake.llm.common import keep
 
 
@@ -50,3 +51,12 @@ def test_run_of_no_documents(spark, docs_of, tmp_path):
     docs_of({}).limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_between_0_80_and_0_85_go(spark, docs_of):
+    base = [f"w{i}" for i in range(54)]
+    other = [*base[:25], "changed", *base[26:]]
+    assert 0.80 <= len(brute.shingles(" ".join(base)) & brute.shingles(" ".join(other))) / len(brute.shingles(" ".join(base)) | brute.shingles(" ".join(other))) < 0.85
+    docs = docs_of({1: " ".join(base), 2: " ".join(other), 3: "something else altogether"})
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+    assert near_dedup.least_agreeing(80) == 34 and near_dedup.least_agreeing(85) == 39
