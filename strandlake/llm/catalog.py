@@ -7,6 +7,7 @@ from importlib import import_module
 #: Modules of the package whose queries are registered.
 AREAS = [
     "topk_search", "quality", "vector_dedup", "secrets", "quotes", "url_filter", "packing", "near_dedup", "licenses", "mixing",
+    "pii", "fill_middle", "hard_negatives",
 ]
 
 QUERIES: dict = {}
