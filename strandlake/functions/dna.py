@@ -107,10 +107,16 @@ def kmer_share(short, long, k: int, both_strands: bool = True) -> Column:
     if both_strands:
         pool = F.concat(pool, kmers(F.reverse(F.translate(long, "ACGT", "TGCA")), k))
     windows = kmers(short, k)
-    # Hash-based set operations: windows that don't occur are taken out, repeated ones counted by their distinct text.
-    missing = F.array_except(windows, pool)
-    lost = F.when(F.size(missing) == 0, F.lit(0)).otherwise(F.size(F.filter(windows, lambda w: F.array_contains(missing, w))))
-    return F.when(F.size(windows) > 0, (F.size(windows) - lost) / F.size(windows)).otherwise(F.lit(0.0))
+    # Sorted together, a window stands behind the equal one of the pool: one pass counts them, repeated ones each.
+    marked = lambda texts, f: F.transform(texts, lambda w: F.struct(w.alias("w"), F.lit(f).alias("f")))
+    seen = F.aggregate(
+        F.array_sort(F.concat(marked(pool, 0), marked(windows, 1))),
+        F.struct(F.lit("").alias("last"), F.lit(0).alias("n")),
+        lambda a, x: F.when(x["f"] == 0, F.struct(x["w"].alias("last"), a["n"].alias("n"))).otherwise(
+            F.struct(a["last"].alias("last"), (a["n"] + (x["w"] == a["last"]).cast("int")).alias("n"))),
+        lambda a: a["n"],
+    )
+    return F.when(F.size(windows) > 0, seen / F.size(windows)).otherwise(F.lit(0.0))
 
 
 def fold_name(s: ColumnOrName) -> Column:

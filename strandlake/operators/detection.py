@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import kmers, span_within
-from strandlake.operators.spans import TILE, attach_bases, tile_records, with_seed
+from strandlake.operators.sketch import Sketch
+from strandlake.operators.spans import TILE, attach_bases, tile_records
 from strandlake.session import cut_lineage
 
 MIN_LENGTH = 12
@@ -30,9 +31,9 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     """Every exact occurrence of every visible library entry, on both strands and through
     the origin of circles; palindromes once, forward.
 
-    One seed per entry and strand meets the records' k-mers in an equi-join, and the few
-    candidates are compared with the bases of their span. Cost follows the bases read, not
-    entries x bases. ``strand`` is unknown for entries without a direction.
+    One seed per entry and strand is enough: windows of a tile that a Bloom filter of all seeds
+    lets pass meet the seeds in an equi-join, and the few candidates are compared with the bases
+    of their span. Rows follow the hits, not the bases. ``strand`` is unknown for entries without a direction.
     """
     k = min_length
     entries = library.where((F.length("sequence") >= min_length) & (F.col("status") != "hidden")).select(
@@ -46,15 +47,22 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     seeds = entries.select("*", F.inline(both)).drop("entry").withColumn("s", _seed(F.col("text"), k)).select(
         "*", F.col("s.seed").alias("seed"), (-F.col("s.back")).cast("bigint").alias("offset")
     ).drop("s")
+    seeds = seeds.withColumn("key", F.xxhash64("seed"))
+    # Only windows that may hold a seed leave their tile.
+    sketch = Sketch(seeds, "key")
+    opened = F.expr(
+        f"filter(transform(windows, (w, i) -> if({sketch.holds('xxhash64(w)', 'held[0]')}, named_struct('at', i, 'seed', w), null)), x -> x is not null)"
+    )
     places = (
         tile_records(records, k - 1, step)
-        .select("record_id", "topology", "length", "tile_start", F.posexplode(kmers("bases", k)).alias("at", "seed"))
+        .select("record_id", "topology", "length", "tile_start", kmers("bases", k).alias("windows"), F.array(sketch.column()).alias("held"))
+        .select("record_id", "topology", "length", "tile_start", F.inline(opened))
         .where((F.col("at") < step) & (F.col("tile_start") + F.col("at") < F.col("length")))
         .select("record_id", "topology", F.col("length").alias("n"), (F.col("tile_start") + F.col("at")).alias("place"), "seed")
     )
     start = F.col("place") - F.col("offset")
     hits = (
-        with_seed(places, seeds).join(seeds, "seed")
+        places.join(seeds.drop("key"), "seed")
         .withColumn("start", F.when(F.col("topology") == "circular", F.pmod(start, F.col("n"))).otherwise(start))
         .where("length <= n and start >= 0 and (topology = 'circular' or start + length <= n)")
         .drop("seed", "place", "offset")

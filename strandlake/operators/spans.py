@@ -59,22 +59,6 @@ def motif_offsets(text, regex: str):
     return F.transform(F.array(marked), starts)[0]
 
 
-#: Distinct seeds that are broadcast at most: some 50 MB.
-MOST_SEEDS = 1_000_000
-
-
-def with_seed(places: DataFrame, seeds: DataFrame, most: int = MOST_SEEDS) -> DataFrame:
-    """Only the windows of ``places`` whose ``seed`` occurs among ``seeds``.
-
-    The distinct seeds are counted first. Up to ``most`` of them are broadcast, so that windows without a partner never
-    leave their tile and the join that follows shuffles hits instead of bases; beyond that all windows go into the join.
-    """
-    distinct = seeds.select("seed").distinct()
-    if distinct.limit(most + 1).count() > most:
-        return places
-    return places.join(F.broadcast(distinct), "seed", "left_semi")
-
-
 def attach_bases(
     spans: DataFrame,
     records: DataFrame,

@@ -9,7 +9,7 @@ from strandlake.operators import families as V
 from strandlake.operators import library as L
 from strandlake.operators.sequences import contiguous_spans
 from strandlake.plans.catalog import query
-from strandlake.plans.testtables import CTES, constructs, feature_parts, features, library_parts, occurrences, table, with_ctes
+from strandlake.plans.testtables import CTES, constructs, feature_parts, features, library_parts, occurrences, table, variants, with_ctes
 
 _LIB = ["library_parts", "occurrences", "lib_features"]
 
@@ -246,6 +246,64 @@ def library_family_pairs_contained(spark, sf_dir):
     return V.related_pairs(_family_input(spark, sf_dir)).where("relation = 'contained'").select("member", "head")
 
 
-@query("library_families")
+# Fixed value: residues of the standard code, codons in the order TCAG.
+_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_AT = "(instr('TCAG', seq[3 * i + {0}]) - 1)"
+
+
+def _least_edits(short: str, long: str, limit: str) -> str:
+    """Fewest edits of ``short`` against a stretch of ``long``: every start and length that so few edits allow."""
+    spots = f"generate_series(1, CAST(length({long}) - length({short}) + {limit} + 1 AS BIGINT))"
+    sizes = f"generate_series(CAST(length({short}) - {limit} AS BIGINT), CAST(length({short}) + {limit} AS BIGINT))"
+    return f"(SELECT min(levenshtein({short}, substr({long}, i, w))) FROM (SELECT unnest({spots}) AS i) AS a, (SELECT unnest({sizes}) AS w) AS b)"
+
+
+#: ``family_features(library_id, seq, cds, names, standalone, ord)`` to links, one feature after the other.
+_FAMILIES = f"""
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY length(seq) DESC, ord) AS o, reverse(translate(seq, 'ACGT', 'TGCA')) AS rev,
+         CASE WHEN cds THEN array_to_string([substr('{_CODE}', CAST(16 * {_AT.format(1)} + 4 * {_AT.format(2)} + {_AT.format(3)} + 1 AS BIGINT), 1) FOR i IN range(0, length(seq) // 3)], '') END AS protein
+  FROM family_features),
+near AS MATERIALIZED (
+  SELECT m.o AS m, h.o AS h, m.seq AS short, m.rev AS turned, h.seq AS long, m.protein AS pm, h.protein AS ph, list_has_any(m.names, h.names) AS named
+  FROM placed m JOIN placed h ON h.o < m.o AND length(m.seq) * 5 >= length(h.seq) * 4
+  WHERE NOT m.standalone AND (list_has_any(m.names, h.names) OR contains(h.seq, m.seq) OR contains(h.seq, m.rev))),
+facts AS (
+  SELECT *, length(short) < length(long) AND (contains(long, short) OR contains(long, turned)) AS inside,
+         CAST(floor(0.03 * length(short) + 1e-9) AS BIGINT) AS e, CAST(floor(0.02 * length(pm) + 1e-9) AS BIGINT) AS pe FROM near),
+whole AS MATERIALIZED (
+  SELECT m, h, strand, text, long, e, levenshtein(text, long) AS edits FROM (
+    SELECT m, h, e, long, unnest([{{'strand': 0, 'text': short}}, {{'strand': 1, 'text': turned}}], recursive := true) FROM facts WHERE NOT inside AND named AND length(short) >= 100)),
+alike AS (
+  SELECT m, h, min({_least_edits('text', 'long', 'least(e, edits)')}) AS edits FROM whole WHERE edits <= 2 * e + length(long) - length(text) GROUP BY m, h),
+coded AS (
+  SELECT m, h, CASE WHEN levenshtein(pm, ph) <= 2 * pe + length(ph) - length(pm) THEN {_least_edits('pm', 'ph', 'pe')} END AS edits
+  FROM facts WHERE NOT inside AND named AND length(pm) >= 100 AND length(ph) >= length(pm)),
+related AS (
+  SELECT f.m, f.h, CASE WHEN inside THEN 'contained' WHEN a.edits <= e THEN 'similar_dna' WHEN c.edits <= pe THEN 'same_protein' END AS relation,
+         CASE WHEN inside THEN 1.0 WHEN a.edits <= e THEN 1.0 - CAST(a.edits AS DOUBLE) / length(short) ELSE 1.0 - CAST(c.edits AS DOUBLE) / length(pm) END AS identity
+  FROM facts f LEFT JOIN alike a ON a.m = f.m AND a.h = f.h LEFT JOIN coded c ON c.m = f.m AND c.h = f.h),
+asked AS MATERIALIZED (
+  SELECT m, row_number() OVER (ORDER BY m) AS k, list({{'h': h, 'relation': relation, 'identity': identity}} ORDER BY h) AS heads
+  FROM related WHERE relation IS NOT NULL GROUP BY m),
+walked AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS members, CAST(NULL AS BIGINT) AS m, CAST(NULL AS STRUCT(h BIGINT, relation VARCHAR, identity DOUBLE)) AS link
+  UNION ALL
+  SELECT k, CASE WHEN link IS NULL THEN members ELSE list_append(members, m) END, m, link FROM (
+    SELECT a.k, w.members, a.m, [x FOR x IN a.heads IF NOT list_contains(w.members, x.h)][1] AS link FROM walked w JOIN asked a ON a.k = w.k + 1))"""
+_LINKS = """
+SELECT p.library_id AS member, h.library_id AS head, link.relation AS relation, round(link.identity, 6) AS identity
+FROM walked JOIN placed p ON p.o = walked.m JOIN placed h ON h.o = link.h WHERE link IS NOT NULL"""
+
+
+@query("library_families", with_ctes(*_LIB, """
+labels AS (SELECT canonical, list(DISTINCT lower(regexp_replace(label, '[^\\p{L}\\p{N}]', '', 'g'))) AS names FROM occurrences GROUP BY canonical),
+family_features AS MATERIALIZED (SELECT sha256(l.canonical) AS library_id, l.sequence AS seq, lower(l.kind) = 'cds' AS cds, names, false AS standalone, first_id AS ord FROM lib_features l JOIN labels USING (canonical))""",
+                                     _FAMILIES, _LINKS))
 def library_families(spark, sf_dir):
-    return V.compute_families(_family_input(spark, sf_dir))
+    return V.compute_families(_family_input(spark, sf_dir)).select("member", "head", "relation", F.round("identity", 6).alias("identity"))
+
+
+@query("library_variant_families", with_ctes("variants", _FAMILIES, _LINKS))
+def library_variant_families(spark, sf_dir):
+    return V.compute_families(variants(spark, sf_dir)).select("member", "head", "relation", F.round("identity", 6).alias("identity"))

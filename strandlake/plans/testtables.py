@@ -184,3 +184,42 @@ lib_features AS MATERIALIZED (
          2 * count(*) FILTER (o.stranded) >= count(*) AS stranded, arg_min(o.sequence, o.id) FILTER (o.label = n.label) AS sequence
   FROM numbered o JOIN named n ON n.canonical = o.canonical AND n.r = 1 JOIN kinds k ON k.canonical = o.canonical AND k.r = 1
   LEFT JOIN colors c ON c.canonical = o.canonical AND c.r = 1 GROUP BY o.canonical, n.label, k.kind, c.color)"""
+
+
+# Six forms of one coding stretch per group of customers: as it is, two bases changed, turned with a base lost, trimmed,
+# other codons for the same residues, and every twentieth base changed.
+_STRETCH = "substr({bases}, CAST(1 + g % 50 AS {int}), CAST(330 + 3 * (g % 7) AS {int}))"
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long features of many forms, one per customer; one group in ten shares a name."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    digits = f"array_join(transform(sequence(0, {BLOCKS - 1}), i -> md5(concat(g, '-', i))), '')"
+    stretch = _STRETCH.format(bases=f"translate({digits}, '0123456789abcdef', 'ACGTACGTACGTACGT')", int="int")
+    turn = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+    form = f"""case c % 6 when 0 then s
+      when 1 then concat(substring(s, 1, 99), translate(substring(s, 100, 1), 'ACGT', 'TGCA'), substring(s, 101, 99), translate(substring(s, 200, 1), 'ACGT', 'TGCA'), substring(s, 201))
+      when 2 then {turn.format("concat(substring(s, 1, 150), substring(s, 152))")}
+      when 3 then substring(s, 11, length(s) - 20)
+      when 4 then array_join(transform(sequence(0, length(s) div 3 - 1), i -> concat(substring(s, 3 * i + 1, 2), translate(substring(s, 3 * i + 3, 1), 'T', 'C'))), '')
+      else array_join(transform(sequence(1, length(s)), i -> if(i % 20 = 0, translate(substring(s, i, 1), 'ACGT', 'TGCA'), substring(s, i, 1))), '') end"""
+    return spread(keys, "c").selectExpr("c", "c - c % 6 as g").selectExpr("c", "g", f"{stretch} as s").selectExpr(
+        "concat('variant-', c) as library_id", f"{form} as sequence", "if(c % 6 = 3, 'misc_feature', 'CDS') as kind",
+        "array(case when c % 6 = 3 then concat('trimmed ', c) when g % 60 = 0 then 'Common' when c % 6 = 1 then concat('FAM ', g) else concat('fam-', g) end, concat('own ', c)) as names",
+        "c % 30 = 7 as standalone", "c as first_seen",
+    )
+
+
+CTES["variants"] = f"""
+stretches AS (SELECT c, g, {_STRETCH.format(bases="translate(" + " || ".join(f"md5(g || '-{i}')" for i in range(BLOCKS)) + ", '0123456789abcdef', 'ACGTACGTACGTACGT')", int="BIGINT")} AS s
+              FROM (SELECT c_custkey AS c, c_custkey - c_custkey % 6 AS g FROM customer)),
+family_features AS MATERIALIZED (
+  SELECT 'variant-' || c AS library_id,
+    CASE c % 6 WHEN 0 THEN s
+      WHEN 1 THEN s[1:99] || translate(s[100], 'ACGT', 'TGCA') || s[101:199] || translate(s[200], 'ACGT', 'TGCA') || s[201:]
+      WHEN 2 THEN reverse(translate(s[1:150] || s[152:], 'ACGT', 'TGCA'))
+      WHEN 3 THEN s[11:length(s) - 10]
+      WHEN 4 THEN array_to_string([s[3 * i + 1:3 * i + 2] || translate(s[3 * i + 3], 'T', 'C') FOR i IN range(0, length(s) // 3)], '')
+      ELSE array_to_string([CASE WHEN i % 20 = 0 THEN translate(s[i], 'ACGT', 'TGCA') ELSE s[i] END FOR i IN range(1, length(s) + 1)], '') END AS seq,
+    c % 6 <> 3 AS cds, [CASE WHEN c % 6 = 3 THEN 'trimmed' || c WHEN g % 60 = 0 THEN 'common' ELSE 'fam' || g END, 'own' || c] AS names, c % 30 = 7 AS standalone, c AS ord
+  FROM stretches)"""

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandlake.operators import detection as D
 from strandlake.operators import families as V
 from strandlake.operators import library as L
@@ -118,3 +120,50 @@ def test_families_match_the_sequential_definition(spark):
     got = {r.member: (r.head, r.relation) for r in V.compute_families(table).collect()}
     assert got == brute_families(items)
     assert V.stale(V.compute_families(table)).count() == 0
+
+
+def test_long_variants_of_one_name(spark):
+    rng = random.Random(8)
+    items = []
+    for g in range(6):
+        base = dna(rng, 240)
+        near = base[:100] + rc(base[100]) + base[101:]
+        items += [(f"{g}a", "hot", base), (f"{g}b", "hot", near), (f"{g}c", "hot", rc(near[:50] + near[51:])), (f"{g}d", "hot", base[:235]),
+                  (f"{g}e", "hot", "".join(rc(c) if i % 15 == 7 else c for i, c in enumerate(base)))]
+    table = spark.createDataFrame([(k, q, "misc_feature", [n], False, k) for k, n, q in items],
+                                  "library_id string, sequence string, kind string, names array<string>, standalone boolean, first_seen string")
+    got = {r.member: (r.head, r.relation) for r in V.compute_families(table).collect()}
+    assert got == brute_families(items)
+
+
+def test_codon_variants_and_standalone_parts(spark):
+    rng = random.Random(3)
+    codons = [c for c in (a + b + d for a in "ACGT" for b in "ACGT" for d in "CT") if c not in ("TAC", "TAT")]
+    base = "".join(rng.choice(codons) for _ in range(110))
+    other = "".join(base[i : i + 2] + {"C": "T", "T": "C"}[base[i + 2]] for i in range(0, 330, 3))
+    rows_ = [("a", base, "CDS", ["X-1"], False, "1"), ("b", other, "cds", ["x 1"], False, "2"), ("c", other, "gene", ["x1"], False, "3"),
+             ("d", base[:300], "CDS", ["y"], True, "4"), ("e", base[3:300], "CDS", ["y"], False, "5"), ("f", other[3:], "CDS", ["z"], False, "6")]
+    table = spark.createDataFrame(rows_, "library_id string, sequence string, kind string, names array<string>, standalone boolean, first_seen string")
+    got = {r.member: (r.head, r.relation) for r in V.compute_families(table).collect()}
+    assert got == {"b": ("a", "same_protein"), "e": ("a", "contained"), "f": ("c", "contained")}
+
+
+def test_regrouping_is_due_after_any_change_of_the_parts(spark):
+    schema = "library_id string, sequence string, kind string, names array<string>, standalone boolean, first_seen string"
+    parts = [("a", "ACGTACGTACGTACGT", "CDS", ["x", "X 1"], False, "1"), ("b", "ACGTACGTACGTACG", "gene", ["y"], False, "2"), ("b2", "TTGTACGTACGTACG", "gene", [], False, "2")]
+    frame = lambda rows_: spark.createDataFrame(rows_, schema)
+    stored = V.fingerprint(frame(parts))
+
+    def due(rows_, known=stored):
+        return tuple(V.regrouping_due(known, frame(rows_)).first())
+
+    assert due(parts) == (False, None) and due(parts[::-1]) == (False, None)
+    assert due([(*parts[0][:3], ["X-1", "x"], *parts[0][4:]), *parts[1:]]) == (False, None)  # equal names, folded
+    changed = (True, "the parts have changed")
+    assert due([*parts, ("c", "GGGTACGTACGTACGT", "CDS", ["z"], False, "3")]) == changed  # import
+    assert due(parts[1:]) == changed  # hide
+    assert due([(*parts[0][:4], True, "1"), *parts[1:]]) == changed  # regroup
+    assert due([(*parts[0][:3], ["other"], False, "1"), *parts[1:]]) == changed  # rename
+    assert due(parts, V.fingerprint(frame([]))) == changed and due([], V.fingerprint(frame([]))) == (False, None)
+    assert due(parts, stored.withColumn("rule", F.lit("families v1"))) == (True, "made under another rule")
+    assert due(parts, stored.limit(0)) == (True, "families were never made")
