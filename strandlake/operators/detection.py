@@ -47,16 +47,13 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     seeds = entries.select("*", F.inline(both)).drop("entry").withColumn("s", _seed(F.col("text"), k)).select(
         "*", F.col("s.seed").alias("seed"), (-F.col("s.back")).cast("bigint").alias("offset")
     ).drop("s")
-    seeds = seeds.withColumn("key", F.xxhash64("seed"))
-    # Only windows that may hold a seed leave their tile.
+    seeds = cut_lineage(seeds.withColumn("key", F.xxhash64("seed")))
+    # Kept once: the filter and the join read them. Only windows that may hold a seed leave their tile.
     sketch = Sketch(seeds, "key")
-    opened = F.expr(
-        f"filter(transform(windows, (w, i) -> if({sketch.holds('xxhash64(w)', 'held[0]')}, named_struct('at', i, 'seed', w), null)), x -> x is not null)"
-    )
     places = (
         tile_records(records, k - 1, step)
-        .select("record_id", "topology", "length", "tile_start", kmers("bases", k).alias("windows"), F.array(sketch.column()).alias("held"))
-        .select("record_id", "topology", "length", "tile_start", F.inline(opened))
+        .select("record_id", "topology", "length", "tile_start", F.posexplode(kmers("bases", k)).alias("at", "seed"))
+        .where(sketch.holds(F.xxhash64("seed")))
         .where((F.col("at") < step) & (F.col("tile_start") + F.col("at") < F.col("length")))
         .select("record_id", "topology", F.col("length").alias("n"), (F.col("tile_start") + F.col("at")).alias("place"), "seed")
     )
