@@ -36,6 +36,18 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As ``keep``, but rows of one value of ``column`` stand in one bucket, so that grouping by it moves nothing.
+
+    Every task writes a file for each value it has: meant for rows that are large and whose values don't repeat in tasks.
+    """
+    spark = df.sparkSession
+    name = f"kept_{uuid.uuid4().hex}"
+    rows = df.write.option("compression", "uncompressed").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, column)
+    rows.format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,24 +1,24 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model's tokens are characters, so that no word is unknown. Counts of all orders are tables; discounts come from their
-counts of counts. Documents are dealt to shards; a shard sends each of its distinct n-grams once, these are joined to the
-counts order by order, and the shard gets back one probability for each, with which it scores its documents. Between
-shards and counts travel distinct n-grams only, whose number grows with the shards. A document is rejected where its
-perplexity leaves the quantiles that held-out trusted documents of its language have.
+counts of counts. Every task squeezes its texts into shards, rows of some megabytes that are written once, in buckets, and
+never shuffled. A shard sends its distinct n-grams, packed by buckets of n-grams; the distinct n-grams of a bucket are joined
+to the counts order by order, and the shard gets back one probability for each, with which it scores its documents. A
+document is rejected where its perplexity leaves the quantiles that held-out trusted documents of its language have.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.catalog import query
-from strandlake.llm.common import keep, row_key, table
+from strandlake.llm.common import keep, keep_bucketed, row_key, table
 from strandlake.session import ship_package
 
 ORDER = 5
@@ -28,13 +28,18 @@ MASK = (1 << TOKEN_BITS) - 1
 START, END, OTHER = 2, 3, 0
 #: One trusted document in so many is held out to measure quantiles.
 HELD_OUT = 5
-#: Bytes of text in a shard, characters that are scored in one go.
-SHARD, CHUNK = 8 << 20, 1 << 20
+#: Bytes of text in a shard at most (but for one longer text), characters that are read in one go.
+SHARD, CHUNK = 16 << 20, 1 << 20
+#: Buckets that n-grams are dealt to: as many as shards within these bounds.
+LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 #: Quantiles of held-out documents that a document must lie between.
 LOW, HIGH = 0.01, 0.99
 #: Fewer held-out documents than this hold no such quantile, only their extremes, which are then moved outwards by so many
 #: distances from the median.
 RESOLVED, SLACK = 100, 1.5
+#: Nats that one token adds to a document's score at most: a key or a formula of symbols that trusted text lacks is one
+#: oddity of a page, not as many as it has characters.
+CAP = 6.0
 #: A short text is drawn towards its language's mean by so many tokens.
 PRIOR = 60
 #: Held-out documents that a language needs for quantiles of its own.
@@ -70,17 +75,35 @@ def gram_chunks(texts: list[str | None], order: int = ORDER) -> Iterator[tuple[n
         yield grams[scored], lengths + 1
 
 
+def _runs(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lists of about a chunk of characters, so that no more of a batch exists as Python strings."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text or "")
+        if size >= CHUNK:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def _merged(kinds: np.ndarray, counts: np.ndarray, more: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, back = np.unique(np.concatenate([kinds, more]), return_inverse=True)
+    return kinds, np.bincount(back, weights=np.concatenate([counts, numbers]), minlength=len(kinds)).astype(np.int64)
+
+
 def _counted(batches):
+    kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        kinds, sums = [], []
-        for grams, _ in gram_chunks(batch.column("text").to_pylist()):
-            k, n = np.unique(grams, return_counts=True)
-            kinds.append(k)
-            sums.append(n)
-        if kinds:
-            k, back = np.unique(np.concatenate(kinds), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate(sums)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["gram", "n"])
+        for run in _runs(t.as_py() for t in batch.column("text")):
+            for grams, _ in gram_chunks(run):
+                kinds, counts = _merged(kinds, counts, *np.unique(grams, return_counts=True))
+        if len(kinds) > CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts)], names=["gram", "n"])
+            kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(kinds):
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts)], names=["gram", "n"])
 
 
 def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,60 +152,137 @@ class Model:
         return lower.select("gram", F.log("p").alias("logp"))
 
 
-def _packed(batches):
-    """Texts squeezed one by one: they are shuffled twice, which is most of what the scoring writes to disk."""
-    for batch in batches:
-        packed = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-        others = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(packed, pa.binary())], names=[*others, "packed"])
-
-
-def _unpacked(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_texts(batch), pa.string())], names=["text"])
+def _squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
-def _texts(rows: pa.Table | pa.RecordBatch) -> list[str | None]:
-    return [None if p is None else zlib.decompress(p).decode("utf-8", "surrogatepass") for p in rows.column("packed").to_pylist()]
+def _blocks(batches):
+    """Rows of ``shard, doc_ids, text_keys, sizes, packed``: texts of up to ``SHARD`` bytes squeezed together."""
+    held: list[tuple] = []
+    size, number = 0, TaskContext.get().partitionId() << 32
+    schema = None
 
+    def block():
+        ids, keys, texts = zip(*held)
+        data = b"".join(texts)
+        columns = [[number], [list(ids)], [list(keys)], [[len(t) for t in texts]], [len(data)], [_squeezed(data)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-def _distinct(rows: pa.Table) -> pa.Table:
-    kinds = [np.unique(g) for g, _ in gram_chunks(_texts(rows))]
-    grams = np.unique(np.concatenate(kinds))
-    return pa.table({"shard": pa.array(np.full(len(grams), rows.column("shard")[0].as_py(), dtype=np.int32)), "gram": pa.array(grams)})
-
-
-def _scored(rows: pa.Table, known: pa.Table) -> pa.Table:
-    if not rows.num_rows:
-        return pa.table({"doc_id": rows.column("doc_id"), "text_key": rows.column("text_key"), "tokens": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
+    for batch in batches:
+        schema = schema or pa.schema([
+            ("shard", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("text_keys", pa.list_(pa.int64())),
+            ("sizes", pa.list_(pa.int64())), ("bytes", pa.int64()), ("packed", pa.binary()),
+        ])
+        for doc_id, key, text in zip(*map(batch.column, ("doc_id", "text_key", "text"))):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            if held and size + len(data) > SHARD:
+                yield block()
+                held, size, number = [], 0, number + 1
+            held.append((doc_id.as_py(), key.as_py(), data))
+            size += len(data)
+    if held:
+        yield block()
+
+
+def _texts(rows: pa.Table) -> Iterator[str]:
+    for row in range(rows.num_rows):
+        data = pa.Codec("zstd").decompress(rows.column("packed")[row].as_py(), rows.column("bytes")[row].as_py(), asbytes=True)
+        at = 0
+        for size in rows.column("sizes")[row].as_py():
+            yield data[at : at + size].decode("utf-8", "surrogatepass")
+            at += size
+
+
+def _kinds(rows: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(distinct n-grams by bucket, then value; their buckets)`` of a shard."""
+    kinds = np.zeros(0, np.int64)
+    for run in _runs(_texts(rows)):
+        for grams, _ in gram_chunks(run):
+            kinds = np.union1d(kinds, grams)
+    order = np.argsort(kinds % buckets, kind="stable")
+    return kinds[order], kinds[order] % buckets
+
+
+def _pack(grams: np.ndarray) -> bytes:
+    return _squeezed(np.diff(grams, prepend=0).tobytes())
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), dtype=np.int64))
+
+
+def _sender(buckets: int):
+    def send(rows: pa.Table) -> pa.Table:
+        grams, dealt = _kinds(rows, buckets)
+        names, first = np.unique(dealt, return_index=True)
+        parts = np.split(grams, first[1:])
+        shard = rows.column("shard")[0].as_py()
+        return pa.table({
+            "shard": pa.array([shard] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()),
+            "n": pa.array([len(p) for p in parts], pa.int64()), "grams": pa.array([_pack(p) for p in parts], pa.binary()),
+        })
+
+    return send
+
+
+def _union(rows: pa.Table) -> pa.Table:
+    grams = np.zeros(0, np.int64)
+    for data, n in zip(rows.column("grams"), rows.column("n")):
+        grams = np.union1d(grams, _unpack(data.as_py(), n.as_py()))
+    return pa.table({"gram": pa.array(grams)})
+
+
+def _answers(rows: pa.Table, known: pa.Table) -> pa.Table:
     keys, values = known.column("gram").to_numpy(), known.column("logp").to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    tokens, sums = [], []
-    for grams, lengths in gram_chunks(_texts(rows)):
-        total = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(keys, grams)])])
-        ends = np.cumsum(lengths)
-        tokens.append(lengths)
-        sums.append(total[ends] - total[ends - lengths])
-    return pa.table({
-        "doc_id": rows.column("doc_id"), "text_key": rows.column("text_key"),
-        "tokens": pa.array(np.concatenate(tokens).astype(np.int64)), "logp": pa.array(np.concatenate(sums)),
-    })
+    found = [values[np.searchsorted(keys, _unpack(d.as_py(), n.as_py()))].tobytes() for d, n in zip(rows.column("grams"), rows.column("n"))]
+    return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "logps": pa.array(found, pa.binary())})
+
+
+def _scorer(buckets: int):
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, _ = _kinds(rows, buckets)
+        order = np.argsort(answers.column("bucket").to_numpy())
+        values = np.concatenate([np.frombuffer(answers.column("logps")[int(i)].as_py(), dtype=np.float64) for i in order])
+        sort = np.argsort(grams)
+        keys, values = grams[sort], values[sort]
+        tokens, sums, capped = [], [], []
+        for run in _runs(_texts(rows)):
+            for own, lengths in gram_chunks(run):
+                logp = values[np.searchsorted(keys, own)]
+                ends = np.cumsum(lengths)
+                tokens.append(lengths)
+                for out, each in ((sums, logp), (capped, np.maximum(logp, -CAP))):
+                    total = np.concatenate([[0.0], np.cumsum(each)])
+                    out.append(total[ends] - total[ends - lengths])
+        flat = lambda name: pa.concat_arrays([x.values if isinstance(x, pa.ListScalar) else x for x in rows.column(name)])
+        return pa.table({
+            "doc_id": flat("doc_ids"), "text_key": flat("text_keys"), "tokens": pa.array(np.concatenate(tokens).astype(np.int64)),
+            "logp": pa.array(np.concatenate(sums)), "capped": pa.array(np.concatenate(capped)),
+        })
+
+    return scored
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, text_key, tokens, logp`` of each whole text, the end of the text being one token more."""
+    """``doc_id, text_key, tokens, logp, capped`` of each whole text, the end of the text being one token more."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(1, -(-size // SHARD))
-    dealt = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), "text").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int")
-    )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = dealt.mapInArrow(_packed, f"doc_id {kind}, text_key long, shard int, packed binary")
-    sent = keep(dealt.groupBy("shard").applyInArrow(_distinct, "shard int, gram long"))
-    known = model.log_probabilities(sent.select("gram").distinct())
-    back = sent.join(known, "gram").select("shard", "gram", "logp")
-    return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_scored, f"doc_id {kind}, text_key long, tokens long, logp double")
+    blocks = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), "text").mapInArrow(
+        _blocks, f"shard long, doc_ids array<{kind}>, text_keys array<long>, sizes array<long>, bytes long, packed binary"
+    )
+    shards = -(-size // SHARD)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = keep_bucketed(blocks, "shard", max(tasks, min(2 * shards, 10_000)))
+    buckets = min(max(shards, LEAST_BUCKETS), MOST_BUCKETS)
+    sent = keep(blocks.groupBy("shard").applyInArrow(_sender(buckets), "shard long, bucket long, n long, grams binary"))
+    grams = keep(sent.groupBy("bucket").applyInArrow(_union, "gram long"))
+    known = keep(model.log_probabilities(grams).withColumn("bucket", F.pmod("gram", F.lit(buckets))))
+    back = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers, "shard long, bucket long, logps binary")
+    return blocks.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(
+        _scorer(buckets), f"doc_id {kind}, text_key long, tokens long, logp double, capped double"
+    )
 
 
 def trusted_roles(labels: DataFrame) -> DataFrame:
@@ -192,16 +292,15 @@ def trusted_roles(labels: DataFrame) -> DataFrame:
 
 
 def trusted_texts(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """``text`` of all documents the model is fitted on; the join may shuffle texts, so they go through it squeezed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    squeezed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, packed binary")
-    return squeezed.join(roles.where("not held_out"), "doc_id").select("packed").mapInArrow(_unpacked, "text string")
+    """``text`` of all documents the model is fitted on."""
+    return docs.join(roles.where("not held_out").select("doc_id"), "doc_id").select("text")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, text_key, lang, tokens, perplexity, score, low, high, kept``.
 
-    ``score`` is the mean surprise of a token in nats, drawn towards the language's mean in short texts; a document is
+    ``score`` is the mean surprise of a token in nats, of which one adds ``CAP`` at most, drawn towards the language's mean in
+    short texts; ``perplexity`` is that of all tokens as they are. A document is
     kept if it lies from ``low`` to ``high``, which the language's quantiles give. A language with few held-out documents, a null
     language included, is measured by all of them; without trusted documents nothing is rejected. A null or empty text
     has its end as only token and is judged like any short text. Rows that repeat an id are scored on their own; an
@@ -212,7 +311,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     roles = keep(trusted_roles(labels))
     model = Model(trusted_texts(read, roles))
     facts = keep(read.select("doc_id", row_key(F.col("text")).alias("text_key"), "lang").dropDuplicates(["doc_id", "text_key", "lang"]))
-    scored = keep(score(read, model).withColumn("surprise", -F.col("logp") / F.col("tokens")))
+    scored = keep(score(read, model).withColumn("surprise", -F.col("capped") / F.col("tokens")))
     same = F.expr("doc_id <=> _id and text_key = _key")
     named = scored.join(
         facts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce("lang", F.lit("")).alias("_lang"), "lang")
@@ -223,7 +322,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     overall = held.agg(F.avg("surprise").alias("mean")).first().mean
     if overall is None:
         none = F.lit(None).cast("double")
-        return named.select("doc_id", "text_key", "lang", "tokens", F.exp("surprise").alias("perplexity"), F.col("surprise").alias("score"), none.alias("low"), none.alias("high"), F.lit(True).alias("kept"))
+        return named.select("doc_id", "text_key", "lang", "tokens", F.exp(-F.col("logp") / F.col("tokens")).alias("perplexity"), F.col("surprise").alias("score"), none.alias("low"), none.alias("high"), F.lit(True).alias("kept"))
     at = lambda q: F.percentile_approx("score", q, 100_000)
     beyond = F.when(F.count("score") < RESOLVED, SLACK).otherwise(0.0)
     cuts = [(at(q) + beyond * (at(q) - at(0.5))).alias(n) for n, q in (("low", LOW), ("high", HIGH))]
@@ -235,7 +334,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = named.join(by_lang, "_lang", "left").withColumn("score", weigh(F.coalesce("mean", F.lit(overall))))
     low, high = F.coalesce("low", F.lit(everywhere.low)), F.coalesce("high", F.lit(everywhere.high))
     return judged.select(
-        "doc_id", "text_key", "lang", "tokens", F.exp("surprise").alias("perplexity"), "score", low.alias("low"), high.alias("high"),
+        "doc_id", "text_key", "lang", "tokens", F.exp(-F.col("logp") / F.col("tokens")).alias("perplexity"), "score", low.alias("low"), high.alias("high"),
         F.col("score").between(low, high).alias("kept"),
     )
 
