@@ -193,12 +193,8 @@ def _texts(rows: pa.Table) -> Iterator[str]:
             at += size
 
 
-def _kinds(rows: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(distinct n-grams by bucket, then value; their buckets)`` of a shard."""
-    kinds = np.zeros(0, np.int64)
-    for run in _runs(_texts(rows)):
-        for grams, _ in gram_chunks(run):
-            kinds = np.union1d(kinds, grams)
+def _by_bucket(kinds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(n-grams by bucket, then value; their buckets)`` of distinct ones in order of value."""
     order = np.argsort(kinds % buckets, kind="stable")
     return kinds[order], kinds[order] % buckets
 
@@ -213,7 +209,11 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 def _sender(buckets: int):
     def send(rows: pa.Table) -> pa.Table:
-        grams, dealt = _kinds(rows, buckets)
+        kinds = np.zeros(0, np.int64)
+        for run in _runs(_texts(rows)):
+            for grams, _ in gram_chunks(run):
+                kinds = np.union1d(kinds, np.unique(grams))
+        grams, dealt = _by_bucket(kinds, buckets)
         names, first = np.unique(dealt, return_index=True)
         parts = np.split(grams, first[1:])
         shard = rows.column("shard")[0].as_py()
@@ -242,21 +242,27 @@ def _answers(rows: pa.Table, known: pa.Table) -> pa.Table:
 
 def _scorer(buckets: int):
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, _ = _kinds(rows, buckets)
+        # A chunk keeps its distinct n-grams and where they stand (four bytes a character) until the shard's are known.
+        chunks = []
+        kinds = np.zeros(0, np.int64)
+        for run in _runs(_texts(rows)):
+            for grams, lengths in gram_chunks(run):
+                own, places = np.unique(grams, return_inverse=True)
+                chunks.append((own, places.astype(np.int32), lengths))
+                kinds = np.union1d(kinds, own)
+        grams, _ = _by_bucket(kinds, buckets)
         order = np.argsort(answers.column("bucket").to_numpy())
-        values = np.concatenate([np.frombuffer(answers.column("logps")[int(i)].as_py(), dtype=np.float64) for i in order])
-        sort = np.argsort(grams)
-        keys, values = grams[sort], values[sort]
+        logps = np.frombuffer(b"".join(answers.column("logps")[int(i)].as_py() for i in order), dtype=np.float64)
+        values = logps[np.argsort(grams)]
         tokens, sums, capped = [], [], []
-        for run in _runs(_texts(rows)):
-            for own, lengths in gram_chunks(run):
-                logp = values[np.searchsorted(keys, own)]
-                ends = np.cumsum(lengths)
-                tokens.append(lengths)
-                for out, each in ((sums, logp), (capped, np.maximum(logp, -CAP))):
-                    total = np.concatenate([[0.0], np.cumsum(each)])
-                    out.append(total[ends] - total[ends - lengths])
-        flat = lambda name: pa.concat_arrays([x.values if isinstance(x, pa.ListScalar) else x for x in rows.column(name)])
+        for own, places, lengths in chunks:
+            logp = values[np.searchsorted(kinds, own)][places]
+            ends = np.cumsum(lengths)
+            tokens.append(lengths)
+            for out, each in ((sums, logp), (capped, np.maximum(logp, -CAP))):
+                total = np.concatenate([[0.0], np.cumsum(each)])
+                out.append(total[ends] - total[ends - lengths])
+        flat = lambda name: pa.concat_arrays([x.values for x in rows.column(name)])
         return pa.table({
             "doc_id": flat("doc_ids"), "text_key": flat("text_keys"), "tokens": pa.array(np.concatenate(tokens).astype(np.int64)),
             "logp": pa.array(np.concatenate(sums)), "capped": pa.array(np.concatenate(capped)),
