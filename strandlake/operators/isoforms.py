@@ -110,11 +110,17 @@ def codon_blocks(views: DataFrame, mark: str = "start_codon") -> DataFrame:
 
 
 def isoform_summary(views: DataFrame, means: DataFrame, quantifier: str | None = None, panel: DataFrame | None = None) -> DataFrame:
-    """Exon count, coding bases, and mean and display for the asked or the default quantifier."""
+    """Exon count, coding bases, and mean and display for the asked or the default quantifier.
+
+    A quantifier that no panel has is an error, which names those there are.
+    """
     if quantifier is None:
         chosen = means.join(default_quantifier(panel), ["record_id", "quantifier"])
     else:
         chosen = means.where(F.col("quantifier") == quantifier)
+        if chosen.isEmpty():
+            known = [r.quantifier for r in means.select("quantifier").distinct().orderBy("quantifier").limit(20).collect()]
+            raise ValueError(f"no panel has the quantifier {quantifier!r}; there are: {', '.join(map(str, known)) or 'none'}")
     return views.select("record_id", "transcript_id", F.size("exons").alias("exons"), F.expr("aggregate(cds, 0L, (a, c) -> a + c.length)").alias("cds_bases")).join(
         chosen.select("record_id", "transcript_id", "quantifier", "panel_mean", "display"), ["record_id", "transcript_id"])
 

@@ -47,9 +47,10 @@ def feature_sequences_query(spark, sf_dir):
 
 @query(
     "contiguous_feature_spans",
-    with_ctes("constructs", "features", "feature_parts", """
-SELECT record_id, feature_id, start, length FROM feature_parts a
-ANTI JOIN (SELECT record_id, feature_id FROM feature_parts WHERE part_index = 1) b USING (record_id, feature_id)"""),
+    with_ctes("features", "feature_parts", """
+SELECT a.record_id, a.feature_id, a.start, a.length FROM feature_parts a
+LEFT JOIN (SELECT record_id, feature_id FROM feature_parts WHERE part_index = 1) b ON b.record_id = a.record_id AND b.feature_id = a.feature_id
+WHERE a.part_index = 0 AND b.feature_id IS NULL"""),
 )
 def contiguous_feature_spans(spark, sf_dir):
     return contiguous_spans(feature_parts(spark, sf_dir), constructs(spark, sf_dir)).select("record_id", "feature_id", "start", "length")
