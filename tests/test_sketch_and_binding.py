@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import detection, primers
+from strandlake.operators import detection, primers, sites
 from strandlake.operators.sketch import Sketch
 from tests.helpers import dna, rc, records
 
@@ -69,3 +69,24 @@ def test_detection_with_an_empty_library(spark):
     table = records(spark, ("a", "ACGTACGTACGTACGTACGTACGT", "circular"))
     library = spark.createDataFrame([], "library_id string, name string, kind string, family_id string, stranded boolean, sequence string, status string")
     assert detection.detect_features(table, library).count() == 0
+
+
+def test_motif_counts_equal_every_place(spark):
+    rng = random.Random(12)
+    base = dna(rng, 60)
+    molecules = [("a", base + dna(rng, 40) + base[:30], True), ("b", base + rc(base[10:40]), False), ("c", dna(rng, 25), True), ("d", "ACGT" * 12, True), ("e", base, False)]
+    motifs = [(k, (t * 2)[i : i + n]) for k, t, _ in molecules for i in (0, 7, len(t) - 9) for n in (9, 18, 24)]
+    motifs += [("a", base[:200]), ("e", base * 2), ("e", None), ("b", base[:18]), ("b", base[:18]), ("e", molecules[2][1][:12])]
+    frame = spark.createDataFrame(motifs, "record_id string, motif string")
+    table = records(spark, *[(k, t, "circular" if ring else "linear") for k, t, ring in molecules])
+    want = {}
+    for key, motif in {m for m in motifs if m[1]}:
+        text, ring = next((t, r) for k, t, r in molecules if k == key)
+        places = [(text * 2)[i : i + len(motif)] for i in range(len(text)) if len(motif) <= len(text) and (ring or i + len(motif) <= len(text))]
+        n = sum(p == motif for p in places) + sum(rc(p) == motif for p in places)
+        if n:
+            want[key, motif] = n
+    got = {(r.record_id, r.motif): r.sites for r in sites.motif_counts(frame, table, step=32).collect()}
+    assert got == want
+    once = {(r.record_id, r.motif) for r in sites.unique_motifs(frame, table).collect()}
+    assert once == {k for k, n in want.items() if n == 1 and rc(k[1]) != k[1]}

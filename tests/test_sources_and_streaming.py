@@ -1,7 +1,9 @@
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
+from strandlake.operators import isoforms
 from strandlake.operators import records as P
 from strandlake.sources import binary as B
 from strandlake.sources import locus, plans
@@ -207,3 +209,34 @@ def test_edit_through_the_origin_with_a_long_kind(spark):
     old = spark.createDataFrame([], "record_id string, feature_id string, feature_ord int")
     added, p, _ = P.add_features(edits, table, old)
     assert rows(added, "label", "kind") == [("x", "a_kind_of_many_letters"), ("y", "CDS")] and rows(p, "start", "length") == [(0, 9), (12, 3)]
+
+
+def test_arriving_records_are_annotated_once(spark, tmp_path):
+    folder, out, check = tmp_path / "records", tmp_path / "found", tmp_path / "check"
+    part = "ACCGTTAGGCATTACGAT"
+    library = spark.createDataFrame(
+        [("p", "part", "CDS", "p", True, part, "imported")], "library_id string, name string, kind string, family_id string, stranded boolean, sequence string, status string")
+
+    def run():
+        arriving = spark.readStream.schema(records(spark).schema).parquet(str(folder))
+        jobs.stream_detect(arriving, library, str(out), str(check)).awaitTermination()
+        return sorted((r.record_id, r.start, r.strand) for r in spark.read.parquet(str(out)).collect())
+
+    records(spark, ("one", "TTTT" + part + "GGGG", "linear")).coalesce(1).write.mode("append").parquet(str(folder))
+    first = [("one", 4, "forward")]
+    assert run() == first and run() == first
+    records(spark, ("two", part[9:] + "CCCC" + part[:9], "circular")).coalesce(1).write.mode("append").parquet(str(folder))
+    both = [*first, ("two", 13, "forward")]
+    assert run() == both
+    # A driver lost before it noted the last batch runs this batch again.
+    for note in (check / "commits").glob("*1*"):
+        note.unlink()
+    assert run() == both
+
+
+def test_unknown_quantifier_is_an_error(spark):
+    means = spark.createDataFrame([("r", "t", "tpm", 1.0, "shown")], "record_id string, transcript_id string, quantifier string, panel_mean double, display string")
+    views = spark.createDataFrame([("r", "t", [1], [(3,)])], "record_id string, transcript_id string, exons array<int>, cds array<struct<length: bigint>>")
+    assert isoforms.isoform_summary(views, means, "tpm").count() == 1
+    with pytest.raises(ValueError, match="fpkm.*there are: tpm"):
+        isoforms.isoform_summary(views, means, "fpkm")
