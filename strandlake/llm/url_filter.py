@@ -89,7 +89,8 @@ def judge(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS) ->
 
     ``score`` is the trees' probability of a block (null where no trees could be trained). Null URLs and URLs without
     ``://`` have an empty host and path, fit no rule and are scored by their features. If the rules label no URL, or
-    all alike, there is nothing to learn: other URLs are allowed. Repeated rows are judged alike; an empty table gives
+    all alike, there is nothing to learn: other URLs are allowed. The trees are fitted on at most ``training_rows`` distinct
+    labelled URLs, half of them for each verdict. Repeated rows are judged alike; an empty table gives
     no rows. Columns other than page_id and url are not read.
     """
     host, path = url_parts()
@@ -97,11 +98,18 @@ def judge(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS) ->
     ready = keep(lexical_features(parsed).select("page_id", "url", "host", "path", "rule", *FEATURES))
     verdicts = {rule: verdict for rule, verdict in rules}
     by_rule = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in verdicts.items()])
-    labelled = (
-        ready.where("rule is not null").withColumn("label", (by_rule == "block").cast("double"))
-        .orderBy(F.xxhash64("url"), "page_id").limit(training_rows)
+    # One row a URL, so that copies of one don't fill the sample; half of it for each verdict, so that both are there.
+    labelled = keep(
+        ready.where("rule is not null").withColumn("label", (by_rule == "block").cast("double")).dropDuplicates(["url"]).select("url", "label", *FEATURES)
     )
-    training = keep(labelled.select("label", *FEATURES))
+    half = max(1, training_rows // 2)
+    sampled = labelled.limit(0)
+    for found in labelled.groupBy("label").agg(F.count("*").alias("n")).collect():
+        # A share of the URLs by one hash leaves about twice as many as wanted, the smallest of another one are taken.
+        share = min(1 << 20, (2 * half << 20) // found.n + 1)
+        own = labelled.where((F.col("label") == found.label) & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share))
+        sampled = sampled.union(own.orderBy(F.xxhash64("url", F.lit(5)), "url").limit(half))
+    training = keep(sampled.select("label", *FEATURES))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     if training.agg(F.count_distinct("label").alias("n")).first().n < 2:
         scored = ready.withColumn("score", F.lit(None).cast("double"))

@@ -30,3 +30,14 @@ def test_nothing_to_learn_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id long, url string")
     assert [(r.verdict, r.score) for r in url_filter.judge(pages).collect()] == [("allow", None)] * 2
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_a_url_with_most_copies_does_not_fill_the_sample(spark):
+    rows = [(i, f"http://site{i % 7}.com/{'fr' if i % 2 else 'de'}/{'a' * (3 + i % 5) if i % 2 else '1234' + str(i)}") for i in range(120)]
+    rows += [(1000 + i, f"http://site{i}.net/xx/{'aaaa' if i % 2 else '98765432'}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    for hot in ("http://hot.com/fr/abc", "http://hot.com/de/12345678"):
+        copies = spark.range(6000).selectExpr("2000 + id as page_id", f"'{hot}' as url")
+        got = {r.page_id: r for r in url_filter.judge(frame.union(copies), training_rows=60).collect()}
+        right = sum((got[1000 + i].verdict == "block") == (i % 2 == 0) for i in range(40))
+        assert right >= 36 and all(got[1000 + i].score is not None for i in range(40))
