@@ -65,3 +65,15 @@ def test_compare_and_range_errors(spark):
                                   "record_id string, range_id string, start bigint, end bigint, strand string, frame int, table_id int")
     out = {r.range_id: (r.protein, r.error) for r in T.translate_ranges(asked, records(spark, ("r", "ATGAAACC", "linear"))).collect()}
     assert out["a"][1] == "invalid range" and out["b"][1] == "invalid frame" and out["c"] == ("FH", None)
+
+
+def test_published_values_of_the_tables():
+    codes = genetic_codes()
+    assert len(codes) == 27 and all(len(c.amino_acids) == 64 for c in codes.values())
+    standard = codes[1].amino_acids
+    changed = lambda t: {k: v for k, v in codes[t].amino_acids.items() if standard[k] != v}
+    assert [k for k, v in standard.items() if v == "*"] == ["TAA", "TAG", "TGA"]
+    assert changed(2) == {"TGA": "W", "ATA": "M", "AGA": "*", "AGG": "*"} and codes[2].starts == {"ATT", "ATC", "ATA", "ATG", "GTG"}
+    assert changed(11) == {} and codes[11].starts == {"TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG"}
+    assert changed(12) == {"CTG": "S"} and changed(4) == {"TGA": "W"} and changed(6) == {"TAA": "Q", "TAG": "Q"}
+    assert changed(33) == {"TAA": "Y", "TGA": "W", "AGA": "S", "AGG": "K"}
