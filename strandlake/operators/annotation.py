@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.joining import large
+
 BIN = 16384
 
 
@@ -32,14 +34,14 @@ def project_parts(parts: DataFrame, intervals: DataFrame, bin_width: int = BIN,
     """
     sizes = intervals.select("record_id", "n").distinct() if sizes is None else sizes.select("record_id", "n")
     left = _segments(
-        parts.join(sizes, "record_id").select("record_id", "feature_id", "part_index", "strand",
+        parts.join(large(sizes), "record_id").select("record_id", "feature_id", "part_index", "strand",
                                               F.col("start").alias("p_start"), F.col("length").alias("p_length"), F.col("n").alias("p_n")),
         "p_start", "p_length", "p_n", bin_width,
     ).withColumnRenamed("_seg", "_pseg")
     right = _segments(intervals, "begin", "size", "n", bin_width)
     lo = F.greatest("_seg.lo", "_pseg.lo")
     pairs = (
-        left.join(right, ["record_id", "_bin"])
+        left.join(large(right), ["record_id", "_bin"])
         .where("_seg.lo < _pseg.hi and _pseg.lo < _seg.hi")
         .where(F.floor(lo / bin_width) == F.col("_bin"))
         # A turn earlier or later only where the lifted part still meets the interval.
@@ -85,7 +87,7 @@ def project_features(parts: DataFrame, intervals: DataFrame, bin_width: int = BI
             F.array_sort(F.collect_list(F.when((F.col("pieces") > 1) & (F.col("topology") == "linear"), F.col("source_part")))).alias("split_source_parts"),
             F.array_sort(F.flatten(F.collect_list("mapped"))).alias("parts_mapped"),
         )
-        .join(source, ["record_id", "feature_id"])
+        .join(large(source), ["record_id", "feature_id"])
         .withColumn("complete", F.col("retained_bases") == F.col("source_bases"))
     )
 

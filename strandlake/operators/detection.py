@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import kmers, span_within
+from strandlake.operators.joining import large
 from strandlake.operators.sketch import Sketch
 from strandlake.operators.spans import TILE, attach_bases, tile_records
 from strandlake.session import cut_lineage
@@ -59,7 +60,7 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     )
     start = F.col("place") - F.col("offset")
     hits = (
-        places.join(seeds.drop("key"), "seed")
+        places.join(large(seeds.drop("key")), "seed")
         .withColumn("start", F.when(F.col("topology") == "circular", F.pmod(start, F.col("n"))).otherwise(start))
         .where("length <= n and start >= 0 and (topology = 'circular' or start + length <= n)")
         .drop("seed", "place", "offset")
@@ -84,11 +85,11 @@ def annotated_as(matches: DataFrame, spans: DataFrame) -> DataFrame:
     """
     there = spans.select("record_id", "start", "length", F.col("feature_id").alias("_f"), F.col("strand").alias("_s"))
     keys = ["record_id", "library_id", "start", "hit"]
-    found = matches.select(*keys, "length", "strand").join(there, ["record_id", "start", "length"]).where(
+    found = matches.select(*keys, "length", "strand").join(large(there), ["record_id", "start", "length"]).where(
         "_s = 'unknown' or strand = 'unknown' or _s = strand"
     )
     listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list("_f")).alias("annotated_as"))
-    return matches.join(listed, keys, "left").withColumn("annotated_as", F.coalesce("annotated_as", F.array().cast("array<string>")))
+    return matches.join(large(listed), keys, "left").withColumn("annotated_as", F.coalesce("annotated_as", F.array().cast("array<string>")))
 
 
 def _containers(matches: DataFrame, same_family: bool, bin_width: int) -> DataFrame:
@@ -110,7 +111,7 @@ def _containers(matches: DataFrame, same_family: bool, bin_width: int) -> DataFr
     )
     around = outer.union(wrapped).distinct()
     inner = matches.withColumn("_bin", F.expr(f"start div {bin_width}"))
-    return inner.join(around, [*keys, "_bin"]).where(
+    return inner.join(large(around), [*keys, "_bin"]).where(
         (F.col("o_length") > F.col("length")) & span_within("start", "length", "o_start", "o_length", "n")
     )
 
@@ -124,7 +125,7 @@ def superseded_by(matches: DataFrame, bin_width: int = 4096) -> DataFrame:
     found = _containers(matches, True, bin_width).groupBy("record_id", "match_index").agg(
         F.max_by("o_index", F.struct("o_length", -F.col("o_index"))).alias("superseded_by")
     )
-    return matches.join(found, ["record_id", "match_index"], "left")
+    return matches.join(large(found), ["record_id", "match_index"], "left")
 
 
 def new_only(matches: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def new_only(matches: DataFrame) -> DataFrame:
     kept = matches.where("size(annotated_as) = 0").withColumn("_new", F.row_number().over(order) - 1)
     targets = kept.select("record_id", F.col("match_index").alias("superseded_by"), F.col("_new").alias("_target"))
     return (
-        kept.join(targets, ["record_id", "superseded_by"], "left")
+        kept.join(large(targets), ["record_id", "superseded_by"], "left")
         .withColumn("match_index", F.col("_new")).withColumn("superseded_by", F.col("_target"))
         .drop("_new", "_target")
     )
@@ -148,6 +149,6 @@ def fold_proposals(matches: DataFrame, bin_width: int = 4096) -> DataFrame:
     kept = matches.where("superseded_by is null")
     around = _containers(kept, False, bin_width).groupBy("record_id", "match_index").agg(F.min("o_index").alias("contained_in"))
     return (
-        kept.join(folded, ["record_id", "match_index"], "left").join(around, ["record_id", "match_index"], "left")
+        kept.join(large(folded), ["record_id", "match_index"], "left").join(large(around), ["record_id", "match_index"], "left")
         .withColumn("variants", F.coalesce("variants", F.lit(0)))
     )

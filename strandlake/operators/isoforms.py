@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.joining import large
+
 DEFAULT_QUANTIFIER = "bambu_lr"
 
 
@@ -19,12 +21,12 @@ def isoforms(transcripts: DataFrame, parts: DataFrame) -> DataFrame:
     spans = parts.groupBy("record_id", "feature_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
     exons = spans.select("record_id", F.col("feature_id").alias("mrna_feature_id"), F.col("spans").alias("exons"))
     cds = spans.select("record_id", F.col("feature_id").alias("cds_feature_id"), F.col("spans").alias("cds"))
-    return transcripts.join(exons, ["record_id", "mrna_feature_id"]).join(cds, ["record_id", "cds_feature_id"], "left").withColumn(
+    return transcripts.join(large(exons), ["record_id", "mrna_feature_id"]).join(large(cds), ["record_id", "cds_feature_id"], "left").withColumn(
         "cds", F.coalesce("cds", F.array().cast("array<struct<start:bigint,length:bigint>>")))
 
 
 def missing_features(transcripts: DataFrame, features: DataFrame) -> DataFrame:
-    return transcripts.join(features.select("record_id", F.col("feature_id").alias("mrna_feature_id")), ["record_id", "mrna_feature_id"], "left_anti").select("record_id", "transcript_id")
+    return transcripts.join(large(features.select("record_id", F.col("feature_id").alias("mrna_feature_id"))), ["record_id", "mrna_feature_id"], "left_anti").select("record_id", "transcript_id")
 
 
 def panel_means(transcripts: DataFrame, expression: DataFrame, panel: DataFrame) -> DataFrame:
@@ -36,9 +38,9 @@ def panel_means(transcripts: DataFrame, expression: DataFrame, panel: DataFrame)
     """
     keys = ["record_id", "quantifier"]
     sizes = panel.groupBy(*keys).agg(F.first("reports_zeros").alias("reports_zeros"), F.count("*").alias("lines"))
-    cells = expression.join(panel.select(*keys, "cell_line").withColumn("listed", F.lit(True)), [*keys, "cell_line"], "left").groupBy(
+    cells = expression.join(large(panel.select(*keys, "cell_line").withColumn("listed", F.lit(True))), [*keys, "cell_line"], "left").groupBy(
         *keys, "transcript_id").agg(F.count("*").alias("rows"), F.count("listed").alias("hits"), F.sum(F.when(F.col("listed"), F.col("mean"))).alias("total"))
-    base = transcripts.select("record_id", "transcript_id", "state", "is_mane_select").join(sizes, "record_id").join(cells, [*keys, "transcript_id"], "left")
+    base = transcripts.select("record_id", "transcript_id", "state", "is_mane_select").join(large(sizes), "record_id").join(large(cells), [*keys, "transcript_id"], "left")
     values = F.when(F.col("reports_zeros"), F.col("hits")).otherwise(F.col("lines"))
     mean = F.when((F.col("state") == "quantified") & (F.col("rows") > 0) & (values > 0), F.coalesce("total", F.lit(0.0)) / values)
     return base.select("record_id", "transcript_id", "quantifier", "state", "is_mane_select", mean.alias("panel_mean")).withColumn("display", display_state())
@@ -74,7 +76,7 @@ def uncovered_regions(exons: DataFrame, lengths: DataFrame) -> DataFrame:
     # The end of the molecule acts as one more, empty exon.
     tails = lengths.select("record_id", F.col("length").alias("start"), F.col("length").alias("end"))
     return (
-        spans.join(lengths.select("record_id"), "record_id", "left_semi").distinct().unionByName(tails)
+        spans.join(large(lengths.select("record_id")), "record_id", "left_semi").distinct().unionByName(tails)
         .withColumn("at", F.coalesce(F.max("end").over(order), F.lit(0)))
         .where("start > at").select("record_id", F.col("at").alias("start"), F.col("start").alias("end"))
     )
@@ -115,14 +117,14 @@ def isoform_summary(views: DataFrame, means: DataFrame, quantifier: str | None =
     A quantifier that no panel has is an error, which names those there are.
     """
     if quantifier is None:
-        chosen = means.join(default_quantifier(panel), ["record_id", "quantifier"])
+        chosen = means.join(large(default_quantifier(panel)), ["record_id", "quantifier"])
     else:
         chosen = means.where(F.col("quantifier") == quantifier)
         if chosen.isEmpty():
             known = [r.quantifier for r in means.select("quantifier").distinct().orderBy("quantifier").limit(20).collect()]
             raise ValueError(f"no panel has the quantifier {quantifier!r}; there are: {', '.join(map(str, known)) or 'none'}")
     return views.select("record_id", "transcript_id", F.size("exons").alias("exons"), F.expr("aggregate(cds, 0L, (a, c) -> a + c.length)").alias("cds_bases")).join(
-        chosen.select("record_id", "transcript_id", "quantifier", "panel_mean", "display"), ["record_id", "transcript_id"])
+        large(chosen.select("record_id", "transcript_id", "quantifier", "panel_mean", "display")), ["record_id", "transcript_id"])
 
 
 def ordered_features(features: DataFrame, transcripts: DataFrame, order: DataFrame, quantifier: str) -> DataFrame:
@@ -130,9 +132,9 @@ def ordered_features(features: DataFrame, transcripts: DataFrame, order: DataFra
     mRNA and CDS of each transcript by rank, then the unranked; source order without a panel."""
     owned = transcripts.select("record_id", "transcript_id", F.inline(F.array(
         F.struct(F.col("mrna_feature_id").alias("feature_id"), F.lit(0).alias("second")), F.struct(F.col("cds_feature_id").alias("feature_id"), F.lit(1).alias("second")))))
-    ranked = owned.join(order.where(F.col("quantifier") == quantifier).select("record_id", "transcript_id", "rank"), ["record_id", "transcript_id"], "left").where("feature_id is not null")
+    ranked = owned.join(large(order.where(F.col("quantifier") == quantifier).select("record_id", "transcript_id", "rank")), ["record_id", "transcript_id"], "left").where("feature_id is not null")
     known = order.where(F.col("quantifier") == quantifier).select("record_id").distinct().withColumn("has_panel", F.lit(True))
-    joined = features.join(ranked, ["record_id", "feature_id"], "left").join(known, "record_id", "left")
+    joined = features.join(large(ranked), ["record_id", "feature_id"], "left").join(large(known), "record_id", "left")
     group = F.when(F.col("has_panel").isNull() | F.col("second").isNull(), 0).when(F.col("rank").isNotNull(), 1).otherwise(2)
     key = F.when(group == 1, F.struct(F.col("rank").alias("a"), F.col("second").alias("b"))).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     return joined.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy(group, key, "feature_ord"))).select(*features.columns, "place")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.ends import end_reason, fits
+from strandlake.operators.joining import large
 
 def plan_rejects(plan: DataFrame) -> DataFrame:
     """Plans of an invalid shape, with the reason."""
@@ -42,7 +43,7 @@ def oriented_components(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     Reversing swaps the whole strands and the ends; the exposed oligos stay as they are.
     """
     joined = plan.join(
-        fragments.select("record_id", "fragment_id", "top", "bottom", "left_end", "right_end"),
+        large(fragments.select("record_id", "fragment_id", "top", "bottom", "left_end", "right_end")),
         ["record_id", "fragment_id"], "left",
     )
     back = F.col("orientation") == "reverse"
@@ -159,13 +160,13 @@ def ligation_outcomes(plan: DataFrame, fragments: DataFrame) -> DataFrame:
 
 def ligate(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     """Products of all valid plans."""
-    valid = plan.join(plan_rejects(plan), "plan_id", "left_anti")
+    valid = plan.join(large(plan_rejects(plan)), "plan_id", "left_anti")
     return ligation_outcomes(valid, fragments).where("reason is null").drop("reason")
 
 
 def ligation_rejects(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     shape = plan_rejects(plan)
-    valid = plan.join(shape, "plan_id", "left_anti")
+    valid = plan.join(large(shape), "plan_id", "left_anti")
     return shape.unionByName(
         ligation_outcomes(valid, fragments).where("reason is not null").select("plan_id", "reason")
     )
@@ -176,7 +177,7 @@ def unused_fragments(plan: DataFrame, fragments: DataFrame) -> DataFrame:
     inputs = plan.select("plan_id", "input", "record_id").distinct()
     used = plan.select("plan_id", "input", "fragment_id")
     return (
-        inputs.join(fragments.select("record_id", "fragment_id"), "record_id")
-        .join(used, ["plan_id", "input", "fragment_id"], "left_anti")
+        inputs.join(large(fragments.select("record_id", "fragment_id")), "record_id")
+        .join(large(used), ["plan_id", "input", "fragment_id"], "left_anti")
         .select("plan_id", "input", "fragment_id")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.annotation import project_features
+from strandlake.operators.joining import large
 
 
 def product_features(components: DataFrame, junctions: DataFrame, cores: DataFrame, parts: DataFrame, features: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,7 +19,7 @@ def product_features(components: DataFrame, junctions: DataFrame, cores: DataFra
     """
     keyed = cores.withColumn("interval_id", F.concat_ws("/", F.col("plan_id").cast("string"), F.col("component").cast("string")))
     intervals = keyed.select("record_id", "interval_id", F.col("start").alias("begin"), F.col("length").alias("size"), "n", (F.col("orientation") == "reverse").alias("bottom"))
-    mapped = project_features(parts, intervals).join(keyed.select("record_id", "interval_id", "plan_id", "component", "product_start"), ["record_id", "interval_id"])
+    mapped = project_features(parts, intervals).join(large(keyed.select("record_id", "interval_id", "plan_id", "component", "product_start")), ["record_id", "interval_id"])
     warnings = mapped.where("not complete").select(
         "plan_id", F.lit("gibson_feature_clipped").alias("code"),
         F.concat("feature_id", F.lit(": "), F.col("retained_bases").cast("string"), F.lit(" of "), F.col("source_bases").cast("string"), F.lit(" bases retained")).alias("message"))
@@ -33,8 +34,8 @@ def product_features(components: DataFrame, junctions: DataFrame, cores: DataFra
     )
     carried = islands.groupBy("plan_id", "component", "record_id", "feature_id", F.col("fragment_strand").alias("strand")).agg(
         F.array_sort(F.collect_list(F.struct("start", "length"))).alias("parts")
-    ).join(features.select("record_id", "feature_id", "kind", "label"), ["record_id", "feature_id"]).select("plan_id", "kind", "label", "strand", "parts")
-    lying = components.join(cores.select("plan_id", "component", "product_start", "length"), ["plan_id", "component"]).where("preparation = 'pcr'")
+    ).join(large(features.select("record_id", "feature_id", "kind", "label")), ["record_id", "feature_id"]).select("plan_id", "kind", "label", "strand", "parts")
+    lying = components.join(large(cores.select("plan_id", "component", "product_start", "length")), ["plan_id", "component"]).where("preparation = 'pcr'")
 
     def primer(side, start):
         return lying.select(
@@ -46,6 +47,6 @@ def product_features(components: DataFrame, junctions: DataFrame, cores: DataFra
         "plan_id", F.lit("misc_feature").alias("kind"), F.concat(F.lit("overlap "), F.col("after_component").cast("string")).alias("label"), F.lit("unknown").alias("strand"),
         F.array(F.struct(F.col("product_start").cast("bigint").alias("start"), F.length("overlap_sequence").cast("bigint").alias("length"))).alias("parts"))
     made = products.where("reason is null").select("plan_id")
-    every = carried.unionByName(primers).unionByName(overlaps).join(made, "plan_id", "left_semi")
+    every = carried.unionByName(primers).unionByName(overlaps).join(large(made), "plan_id", "left_semi")
     place = Window.partitionBy("plan_id").orderBy(F.col("parts")[0]["start"], "kind", "label")
     return every.withColumn("feature_id", F.format_string("feature-%04d", F.row_number().over(place))), warnings

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.joining import large
 from strandlake.operators.translation import translate_features
 
 
@@ -15,7 +16,7 @@ def inspect(records: DataFrame, features: DataFrame, primers: DataFrame | None =
         if table is None:
             out = out.withColumn(name, F.lit(0).cast("bigint"))
         else:
-            out = out.join(table.groupBy("record_id").agg(F.count("*").alias(name)), "record_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+            out = out.join(large(table.groupBy("record_id").agg(F.count("*").alias(name))), "record_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 
 
@@ -35,7 +36,7 @@ def list_primers(primers: DataFrame) -> DataFrame:
 
 def sequence_range(requests: DataFrame, records: DataFrame) -> DataFrame:
     """Bases of ``[start, end)`` per request, without wrapping; bad ranges carry an ``error``."""
-    joined = requests.join(records.select("record_id", "sequence"), "record_id", "left")
+    joined = requests.join(large(records.select("record_id", "sequence")), "record_id", "left")
     bad = F.col("sequence").isNull() | (F.col("start") < 0) | (F.col("start") >= F.col("end")) | (F.col("end") > F.length("sequence"))
     return joined.select(
         *requests.columns,
@@ -46,14 +47,14 @@ def sequence_range(requests: DataFrame, records: DataFrame) -> DataFrame:
 
 def strict(records: DataFrame, warnings: DataFrame) -> DataFrame:
     """Only the records that were read without any warning."""
-    return records.join(warnings.select("record_id").distinct(), "record_id", "left_anti")
+    return records.join(large(warnings.select("record_id").distinct()), "record_id", "left_anti")
 
 
 def integrity_report(records: DataFrame, features: DataFrame, parts: DataFrame) -> DataFrame:
     """``(record_id, feature_id, problem)`` for every broken rule of the data model."""
     repeated = features.groupBy("record_id", "feature_id").agg(F.count("*").alias("k")).where("k > 1").select("record_id", "feature_id", F.lit("duplicate feature id").alias("problem"))
     unnamed = features.where("feature_id is null or feature_id = ''").select("record_id", "feature_id", F.lit("empty feature id").alias("problem"))
-    sized = parts.join(records.select("record_id", F.col("length").alias("n"), "topology"), "record_id", "left")
+    sized = parts.join(large(records.select("record_id", F.col("length").alias("n"), "topology")), "record_id", "left")
     problem = (
         F.when(F.col("n").isNull(), F.lit("no such record"))
         .when((F.col("start") < 0) | (F.col("start") >= F.col("n")) | (F.col("length") <= 0) | (F.col("length") > F.col("n")), F.lit("region outside the molecule"))
@@ -64,7 +65,7 @@ def integrity_report(records: DataFrame, features: DataFrame, parts: DataFrame)
     counts = parts.groupBy("record_id", "feature_id").agg(F.count("*").alias("k"))
     if "operator" in features.columns:
         out = out.unionByName(
-            features.join(counts, ["record_id", "feature_id"], "left").where("k is null or (operator = 'contiguous') != (k = 1)")
+            features.join(large(counts), ["record_id", "feature_id"], "left").where("k is null or (operator = 'contiguous') != (k = 1)")
             .select("record_id", "feature_id", F.lit("operator does not match the number of parts").alias("problem"))
         )
     dirty = records.where(~F.col("sequence").rlike("^[ACGTRYSWKMBDHVN]+$")).select("record_id", F.lit(None).cast("string").alias("feature_id"), F.lit("symbol outside the alphabet").alias("problem"))
@@ -73,7 +74,7 @@ def integrity_report(records: DataFrame, features: DataFrame, parts: DataFrame)
 
 def edit_rejects(edits: DataFrame, records: DataFrame) -> DataFrame:
     """Edits that cannot be applied, with the reason."""
-    sized = edits.join(records.select("record_id", F.col("length").alias("n"), "topology"), "record_id", "left")
+    sized = edits.join(large(records.select("record_id", F.col("length").alias("n"), "topology")), "record_id", "left")
     reason = (
         F.when(F.col("n").isNull(), F.lit("no such record"))
         .when(F.trim("label") == "", F.lit("empty label"))
@@ -93,12 +94,12 @@ def add_features(edits: DataFrame, records: DataFrame, features: DataFrame) -> t
     Ids continue after the highest one of the record; ``end < start`` wraps on circles. With
     ``translate`` the protein joins the qualifiers and oddities are reported.
     """
-    good = edits.join(edit_rejects(edits, records), ["record_id", "edit_ord"], "left_anti").join(
-        records.select("record_id", F.col("length").alias("n")), "record_id")
+    good = edits.join(large(edit_rejects(edits, records)), ["record_id", "edit_ord"], "left_anti").join(
+        large(records.select("record_id", F.col("length").alias("n"))), "record_id")
     number = F.expr(r"try_cast(regexp_extract(feature_id, '^feature-(\\d+)$', 1) as bigint)")
     highest = features.groupBy("record_id").agg(F.max(number).alias("top"), F.max("feature_ord").alias("last"))
     order = Window.partitionBy("record_id").orderBy("edit_ord")
-    placed = good.join(highest, "record_id", "left").withColumn("k", F.row_number().over(order)).withColumn(
+    placed = good.join(large(highest), "record_id", "left").withColumn("k", F.row_number().over(order)).withColumn(
         "feature_id", F.format_string("feature-%04d", F.coalesce("top", F.lit(0)) + F.col("k"))
     ).withColumn("feature_ord", F.coalesce("last", F.lit(0)) + F.col("k"))
     wide = F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start")).otherwise(F.col("n") - F.col("start") + F.col("end"))
@@ -108,8 +109,8 @@ def add_features(edits: DataFrame, records: DataFrame, features: DataFrame) -> t
         return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
 
     coding = placed.where("translate").select("record_id", "feature_id", F.array(entry("codon_start", F.col("codon_start")), entry("transl_table", F.col("transl_table"))).alias("qualifiers"))
-    proteins = translate_features(coding, parts.join(coding.select("record_id", "feature_id"), ["record_id", "feature_id"], "left_semi"), records)
-    shown = placed.join(proteins.select("record_id", "feature_id", F.regexp_replace("protein", r"\*$", "").alias("translation")), ["record_id", "feature_id"], "left")
+    proteins = translate_features(coding, parts.join(large(coding.select("record_id", "feature_id")), ["record_id", "feature_id"], "left_semi"), records)
+    shown = placed.join(large(proteins.select("record_id", "feature_id", F.regexp_replace("protein", r"\*$", "").alias("translation"))), ["record_id", "feature_id"], "left")
     qualifiers = F.filter(F.array(
         F.when(F.col("translate"), entry("codon_start", F.col("codon_start"))), F.when(F.col("translate"), entry("transl_table", F.col("transl_table"))),
         F.when(F.col("translation").isNotNull(), entry("translation", F.col("translation"))), F.when(F.col("note").isNotNull(), entry("note", F.col("note"))),
@@ -126,4 +127,4 @@ def add_features(edits: DataFrame, records: DataFrame, features: DataFrame) -> t
 def remove_features(features: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Features without the wanted ones, and the wanted ids that do not exist."""
     keys = ["record_id", "feature_id"]
-    return features.join(wanted.select(*keys), keys, "left_anti"), wanted.join(features.select(*keys), keys, "left_anti")
+    return features.join(large(wanted.select(*keys)), keys, "left_anti"), wanted.join(large(features.select(*keys)), keys, "left_anti")

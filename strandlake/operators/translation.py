@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.dims.genetic_code import code_maps, genetic_codes, split_codons, translate_codons
 from strandlake.functions.dna import revcomp_iupac, revcomp_text
+from strandlake.operators.joining import large
 from strandlake.operators.sequences import coding_sequences
 from strandlake.operators.spans import attach_bases, tile_records
 
@@ -63,7 +64,7 @@ def translate_features(features: DataFrame, parts: DataFrame, records: DataFrame
     asked = F.lit(table).cast("int") if table is not None else F.coalesce(F.expr("try_cast(_code as int)"), F.lit(1))
     coded = (
         features.select("record_id", "feature_id", "qualifiers")
-        .join(coding_sequences(parts, records), ["record_id", "feature_id"])
+        .join(large(coding_sequences(parts, records)), ["record_id", "feature_id"])
         .withColumn("_start", start).withColumn("_code", code)
         .withColumn(
             "error",
@@ -82,7 +83,7 @@ def translate_features(features: DataFrame, parts: DataFrame, records: DataFrame
 def translate_all_cds(features: DataFrame, parts: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Translations of every coding feature, and the skipped ones with their reason."""
     coding = features.where("lower(kind) = 'cds'")
-    done = translate_features(coding, parts.join(coding.select("record_id", "feature_id"), ["record_id", "feature_id"], "left_semi"), records)
+    done = translate_features(coding, parts.join(large(coding.select("record_id", "feature_id")), ["record_id", "feature_id"], "left_semi"), records)
     return done.where("error is null").drop("error"), done.where("error is not null").select("record_id", "feature_id", "error")
 
 
@@ -92,7 +93,7 @@ def codon_positions(translations: DataFrame, parts: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("part_index", F.expr("sequence(start, start + length - 1)").alias("p")))), lambda x: x["p"]
     )
     places = parts.groupBy("record_id", "feature_id").agg(F.flatten(order).alias("places"))
-    joined = translations.join(places, ["record_id", "feature_id"]).withColumn(
+    joined = translations.join(large(places), ["record_id", "feature_id"]).withColumn(
         "places", F.expr("transform(if(strand = 'reverse', reverse(places), places), p -> pmod(p, n))")
     )
     return joined.select(
@@ -109,7 +110,7 @@ def translate_ranges(ranges: DataFrame, records: DataFrame) -> DataFrame:
 
     On circles ``end < start`` runs through the origin. Bad requests keep an ``error``.
     """
-    sized = ranges.join(records.select("record_id", F.length("sequence").cast("bigint").alias("n"), "topology"), "record_id")
+    sized = ranges.join(large(records.select("record_id", F.length("sequence").cast("bigint").alias("n"), "topology")), "record_id")
     span = F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start")).when(
         (F.col("topology") == "circular") & (F.col("end") < F.col("start")), F.col("n") - F.col("start") + F.col("end")
     )

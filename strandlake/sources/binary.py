@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import normalize_dna
+from strandlake.operators.joining import large
 from strandlake.sources.text import Import, _stem
 
 # Packet types of the format.
@@ -105,7 +106,7 @@ def parse_snapgene(files: DataFrame) -> tuple[Import, DataFrame]:
     good = whole.where("reason is null")
     records = good.select(F.col("source_path").alias("record_id"), _stem(F.col("source_path")).alias("name"), "sequence",
                           F.length("sequence").cast("bigint").alias("length"), "topology", "source_path")
-    kept = packets.withColumnRenamed("source_path", "record_id").join(records.select("record_id", "length", "topology"), "record_id")
+    kept = packets.withColumnRenamed("source_path", "record_id").join(large(records.select("record_id", "length", "topology")), "record_id")
     left_alone = kept.where(~F.col("packet_type").isin(COOKIE, DNA, FEATURES, PRIMERS)).select(
         "record_id", F.when(F.col("packet_type") == NOTES, F.lit("snapgene_notes_not_interpreted")).otherwise(F.lit("snapgene_packet_not_interpreted")).alias("code"),
         F.concat(F.lit("packet type "), F.col("packet_type").cast("string"), F.lit(" was kept but not interpreted")).alias("message"))
@@ -126,7 +127,7 @@ def parse_snapgene(files: DataFrame) -> tuple[Import, DataFrame]:
     sizes = parts.groupBy("record_id", "feature_id").agg(F.count("*").alias("k"))
     qualifiers = F.expr("""flatten(transform(coalesce(f.Q, array()), q -> if(q.V is null or size(q.V) = 0, array(named_struct('key', q._name, 'value', cast(null as string))),
         transform(q.V, v -> named_struct('key', q._name, 'value', coalesce(v._text, v._predef, cast(v._int as string)))))))""")
-    features = listed.withColumn("feature_id", F.format_string("feature-%04d", F.col("at") + 1)).join(sizes, ["record_id", "feature_id"]).select(
+    features = listed.withColumn("feature_id", F.format_string("feature-%04d", F.col("at") + 1)).join(large(sizes), ["record_id", "feature_id"]).select(
         "record_id", "feature_id", (F.col("at") + 1).alias("feature_ord"), F.coalesce("f._type", F.lit("misc_feature")).alias("kind"),
         F.coalesce("f._name", F.lit("")).alias("label"), strand.alias("strand"), F.when(F.col("k") == 1, F.lit("contiguous")).otherwise(F.lit("join")).alias("operator"),
         qualifiers.alias("qualifiers"), F.expr("try_element_at(filter(transform(f.Segment, s -> s._color), c -> c is not null), 1)").alias("color"))
