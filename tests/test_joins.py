@@ -5,6 +5,9 @@ import re
 import pytest
 
 from strandlake.plans import all_queries
+from strandlake.sinks.text import genbank
+from strandlake.sources.text import parse_genbank
+from tests.helpers import parts, records
 
 FOUND = [
     "assembly_junctions", "codon_positions", "amplicons", "binding_sites", "library_skip_reasons", "ligation_junctions", "ligation_placements",
@@ -32,3 +35,16 @@ def broadcast_of_rows(plan: str) -> list[str]:
 def test_growing_tables_are_not_broadcast(spark, name):
     df = all_queries()[name].run(spark, "/root/testdata/sf0.001")
     assert broadcast_of_rows(df._jdf.queryExecution().executedPlan().toString()) == []
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_genbank_moves_texts_and_features_once(spark):
+    """A record is read within its row: only the record's text (numbering of twins) and its features (their numbers) are shuffled."""
+    chunks = spark.createDataFrame([("a.gb", "LOCUS")], "source_path string, value string").repartition(2)
+    assert exchanges(parse_genbank(chunks).features) == 2
+    molecules = records(spark, ("a", "ACGT", "linear"))
+    features = spark.createDataFrame([], "record_id string, feature_id string, feature_ord int, kind string, label string, strand string")
+    assert exchanges(genbank(molecules, features, parts(spark))) <= 3
