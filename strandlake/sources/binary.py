@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.dna import normalize_dna
 from strandlake.operators.joining import large
-from strandlake.sources.text import Import, _stem
+from strandlake.sources.text import Import, _bound, _stem
 
 # Packet types of the format.
 COOKIE, DNA, PRIMERS, NOTES, FEATURES = 9, 0, 5, 6, 10
@@ -62,22 +62,29 @@ def _split(batches):
     for batch in batches:
         rows = []
         for path, content in zip(batch["source_path"], batch["content"]):
-            at, order, reason, found = 0, 0, None, []
+            at, reason, found = 0, None, []
             while at < len(content):
                 size = struct.unpack(">I", content[at + 1 : at + 5])[0] if len(content) - at >= 5 else None
                 if size is None or at + 5 + size > len(content):
                     reason = f"truncated packet at byte {at}"
                     break
-                found.append((path, order, content[at], content[at + 5 : at + 5 + size], None))
-                at, order = at + 5 + size, order + 1
-            rows += [(path, -1, -1, b"", reason)] if reason else found or [(path, -1, -1, b"", "file contains no packets")]
-        yield pd.DataFrame(rows, columns=["source_path", "packet", "packet_type", "payload", "reason"])
+                found.append({"packet": len(found), "packet_type": content[at], "payload": content[at + 5 : at + 5 + size]})
+                at += 5 + size
+            if not reason and not found:
+                reason = "file contains no packets"
+            rows.append((path, [] if reason else found, reason))
+        yield pd.DataFrame(rows, columns=["source_path", "packets", "reason"])
 
 
 def split_packets(files: DataFrame) -> DataFrame:
-    return files.select("source_path", "content").mapInPandas(
-        _split, "source_path string, packet int, packet_type int, payload binary, reason string"
+    """One row per path: ``source_path, packets, reason``.
+
+    All tables of an import read the rows behind this one shuffle, so that a file is walked once.
+    """
+    walked = files.select("source_path", "content").mapInPandas(
+        _split, "source_path string, packets array<struct<packet int, packet_type int, payload binary>>, reason string"
     )
+    return walked.groupBy("source_path").agg(F.flatten(F.collect_list("packets")).alias("packets"), F.max("reason").alias("reason"))
 
 
 _FEATURES_XML = """Feature array<struct<_type string, _directionality string, _name string,
@@ -87,30 +94,34 @@ _PRIMERS_XML = "Primer array<struct<_sequence string, _name string, _description
 
 def parse_snapgene(files: DataFrame) -> tuple[Import, DataFrame]:
     """Records, features, parts, warnings and rejects, and the imported primers."""
-    packets = split_packets(files)
-    shape = packets.groupBy("source_path").agg(
-        F.max("reason").alias("cut"), F.min_by("packet_type", "packet").alias("first"), F.count_if(F.col("packet_type") == DNA).alias("dna"),
-        F.max(F.when(F.col("packet_type") == DNA, F.col("payload"))).alias("body"),
-        F.min_by(F.decode(F.substring("payload", 1, 8), "US-ASCII"), "packet").alias("cookie"),
+    dna = F.filter("packets", lambda p: p["packet_type"] == DNA)
+    opening = F.get("packets", F.lit(0))
+    shape = split_packets(files).select(
+        "source_path", "packets", F.col("reason").alias("cut"), opening["packet_type"].alias("first"), F.size(dna).alias("dna"),
+        F.get(dna, F.lit(0))["payload"].alias("body"), F.substring(opening["payload"], 1, 8).alias("cookie"),
     )
     flags = F.conv(F.hex(F.substring("body", 1, 1)), 16, 10).cast("int")
-    whole = shape.withColumn("sequence", normalize_dna(F.decode(F.expr("substring(body, 2)"), "US-ASCII"))).withColumn(
+    whole = _bound(shape, normalize_dna(F.decode(F.expr("substring(body, 2)"), "US-ASCII")).alias("sequence")).withColumn(
         "topology", F.when(flags.bitwiseAND(1) == 1, F.lit("circular")).otherwise(F.lit("linear"))
     ).withColumn(
         "reason",
         F.when(F.col("cut").isNotNull(), F.col("cut"))
-        .when((F.col("first") != COOKIE) | (F.col("cookie") != "SnapGene"), F.lit("first packet is not the SnapGene cookie"))
+        .when((F.col("first") != COOKIE) | (F.col("cookie") != F.lit(b"SnapGene")), F.lit("first packet is not the SnapGene cookie"))
         .when(F.col("dna") == 0, F.lit("no DNA packet")).when(F.col("dna") > 1, F.lit("more than one DNA packet"))
         .when(F.col("sequence").isNull(), F.lit("invalid DNA sequence")),
     )
     good = whole.where("reason is null")
     records = good.select(F.col("source_path").alias("record_id"), _stem(F.col("source_path")).alias("name"), "sequence",
                           F.length("sequence").cast("bigint").alias("length"), "topology", "source_path")
-    kept = packets.withColumnRenamed("source_path", "record_id").join(large(records.select("record_id", "length", "topology")), "record_id")
-    left_alone = kept.where(~F.col("packet_type").isin(COOKIE, DNA, FEATURES, PRIMERS)).select(
+
+    def kept(wanted):
+        return good.select(F.col("source_path").alias("record_id"), F.length("sequence").cast("bigint").alias("length"), "topology",
+                           F.inline(F.filter("packets", lambda p: wanted(p["packet_type"]))))
+
+    left_alone = kept(lambda kind: ~kind.isin(COOKIE, DNA, FEATURES, PRIMERS)).select(
         "record_id", F.when(F.col("packet_type") == NOTES, F.lit("snapgene_notes_not_interpreted")).otherwise(F.lit("snapgene_packet_not_interpreted")).alias("code"),
         F.concat(F.lit("packet type "), F.col("packet_type").cast("string"), F.lit(" was kept but not interpreted")).alias("message"))
-    listed = kept.where(F.col("packet_type") == FEATURES).withColumn("x", F.from_xml(F.decode("payload", "UTF-8"), _FEATURES_XML)).select(
+    listed = kept(lambda kind: kind == FEATURES).withColumn("x", F.from_xml(F.decode("payload", "UTF-8"), _FEATURES_XML)).select(
         "record_id", "length", "topology", F.posexplode("x.Feature").alias("at", "f"))
     ranged = listed.select("record_id", "length", "topology", "at", "f", F.posexplode_outer("f.Segment").alias("part", "s")).withColumn(
         "a", F.expr(r"try_cast(regexp_extract(s._range, '^(\\d+)-\\d+$', 1) as bigint)")).withColumn(
@@ -137,7 +148,7 @@ def parse_snapgene(files: DataFrame) -> tuple[Import, DataFrame]:
         F.when(F.col("s._range").isNull(), F.concat(number, F.lit(" contains a segment without a range"))).otherwise(F.concat(number, F.lit(" range "), F.col("s._range"))).alias("message"))
     gone = ranged.groupBy("record_id", "at").agg(F.bool_or("ok").alias("any")).where("not any").select(
         "record_id", F.lit("snapgene_feature_skipped").alias("code"), F.concat(number, F.lit(" has no supported segments")).alias("message"))
-    oligos = kept.where(F.col("packet_type") == PRIMERS).withColumn("x", F.from_xml(F.decode("payload", "UTF-8"), _PRIMERS_XML)).select(
+    oligos = kept(lambda kind: kind == PRIMERS).withColumn("x", F.from_xml(F.decode("payload", "UTF-8"), _PRIMERS_XML)).select(
         "record_id", F.posexplode("x.Primer").alias("primer_ord", "p")).withColumn("sequence", normalize_dna("p._sequence"))
     primers = oligos.where("sequence is not null").select("record_id", "primer_ord", F.coalesce("p._name", F.lit("")).alias("name"), "sequence", F.nullif(F.col("p._description"), F.lit("")).alias("description"))
     bad_primers = oligos.where("sequence is null").select("record_id", F.lit("snapgene_primer_skipped").alias("code"), F.concat(F.lit("primer "), (F.col("primer_ord") + 1).cast("string"), F.lit(" has an invalid sequence")).alias("message"))

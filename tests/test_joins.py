@@ -6,6 +6,7 @@ import pytest
 
 from strandlake.plans import all_queries
 from strandlake.sinks.text import genbank
+from strandlake.sources.binary import parse_snapgene
 from strandlake.sources.text import parse_genbank
 from tests.helpers import parts, records
 
@@ -48,3 +49,9 @@ def test_genbank_moves_texts_and_features_once(spark):
     molecules = records(spark, ("a", "ACGT", "linear"))
     features = spark.createDataFrame([], "record_id string, feature_id string, feature_ord int, kind string, label string, strand string")
     assert exchanges(genbank(molecules, features, parts(spark))) <= 3
+
+
+def test_snapgene_files_meet_their_packets_in_one_shuffle(spark):
+    files = spark.createDataFrame([("a.dna", b"x")], "source_path string, content binary")
+    read, primers = parse_snapgene(files)
+    assert exchanges(read.records) == exchanges(primers) == 1
