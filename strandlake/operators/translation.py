@@ -167,10 +167,9 @@ def six_frames(records: DataFrame, table: int = 1) -> DataFrame:
     phases = F.array(*[F.struct(F.lit(i).alias("phase")) for i in range(3)])
     cut = tile_records(straight, 2, FRAME_STEP).select(
         "record_id", "length", "tile", "bases", F.inline(phases)
-    ).withColumn("codons", split_codons(F.expr("substring(bases, phase + 1)")))
-    forward = F.array_join(translate_codons(F.col("codons"), table), "")
-    turned = F.transform("codons", revcomp_iupac)
-    backward = F.reverse(F.array_join(translate_codons(turned, table), ""))
+    ).withColumn("whole", F.expr("substring(bases, phase + 1, (length(bases) - phase) div 3 * 3)"))
+    forward = F.array_join(translate_codons(split_codons(F.col("whole")), table), "")
+    backward = F.array_join(translate_codons(split_codons(revcomp_iupac("whole")), table), "")
     offset = F.pmod(F.col("length") - F.col("phase"), F.lit(3)).cast("int")
     both = F.array(
         F.struct(F.lit("forward").alias("strand"), F.col("phase").alias("offset"), F.col("tile").alias("rank"), forward.alias("protein")),
