@@ -55,3 +55,10 @@ def test_snapgene_files_meet_their_packets_in_one_shuffle(spark):
     files = spark.createDataFrame([("a.dna", b"x")], "source_path string, content binary")
     read, primers = parse_snapgene(files)
     assert exchanges(read.records) == exchanges(primers) == 1
+
+
+def test_bases_are_spelled_behind_the_spread(spark):
+    """The input of a spread is a few small files: a filter on the bases below it would spell them in as few tasks."""
+    plan = all_queries()["restriction_sites"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("REPARTITION_BY_NUM")
+    assert "md5" in above and "md5" not in below
