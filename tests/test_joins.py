@@ -62,3 +62,17 @@ def test_bases_are_spelled_behind_the_spread(spark):
     plan = all_queries()["restriction_sites"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above, below = plan.split("REPARTITION_BY_NUM")
     assert "md5" in above and "md5" not in below
+
+
+@pytest.mark.parametrize("name", ["library_listing", "library_features", "library_aliases", "library_seen_in"])
+def test_parts_are_spelled_behind_the_spread(spark, name):
+    """A join on the parts' bases filters them; below the spread that filter spelled every customer's part in one task."""
+    lines = all_queries()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [len(re.match(r"[\s:|+\-*()\d]*", x).group()) for x in lines]
+    spreads = [i for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
+    assert spreads and any("md5" in x for x in lines)
+    for i in spreads:
+        for k in range(i + 1, len(lines)):
+            if at[k] <= at[i]:
+                break
+            assert "md5" not in lines[k]
