@@ -167,3 +167,17 @@ def test_regrouping_is_due_after_any_change_of_the_parts(spark):
     assert due(parts, V.fingerprint(frame([]))) == changed and due([], V.fingerprint(frame([]))) == (False, None)
     assert due(parts, stored.withColumn("rule", F.lit("families v1"))) == (True, "made under another rule")
     assert due(parts, stored.limit(0)) == (True, "families were never made")
+
+
+def test_contained_pairs_need_no_alignment(spark):
+    """Pairs of parts in one another come from their own seeds; proteins and alignments are left to the other relations."""
+    from strandlake.operators.families import related_pairs
+    from strandlake.plans import all_queries
+    from strandlake.plans.library_queries import _family_input
+    from strandlake.plans.testtables import variants
+
+    plan = all_queries()["library_family_pairs_contained"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    for features in (variants(spark, "/root/testdata/sf0.001"), _family_input(spark, "/root/testdata/sf0.001")):
+        every = related_pairs(features).where("relation = 'contained'").collect()
+        assert every and sorted(map(tuple, related_pairs(features, contained_only=True).collect())) == sorted(map(tuple, every))
