@@ -89,6 +89,11 @@ def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
     return dealt.join(offsets, "_part").withColumn(out, F.col("_offset") + place - 1).drop("_part", "_offset")
 
 
+def _two_rows(first: tuple[str, str], second: tuple[str, str], names: tuple[str, str]) -> Column:
+    """Array of two structs with fields ``names``, of the columns ``first`` and of the columns ``second``."""
+    return F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(row, names)]) for row in (first, second)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)`` of longs: ``(node, component)``, component being the smallest node.
 
@@ -103,7 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        both = pairs.union(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "other")
+        # Two rows of each pair by one array: a union would plan the whole round once for each of its sides.
+        both = pairs.select(F.inline(_two_rows(("hi", "lo"), ("lo", "hi"), ("node", "other"))))
         least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("m", "node").alias("m"))
         large = (
             both.where("other > node").join(least, "node")
@@ -111,11 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi")
-        pairs = keep(
-            small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(small.select("hi", F.col("m").alias("lo")))
-            .where("hi <> lo").distinct()
-        )
+        pairs = keep(small.select(F.inline(_two_rows(("lo", "m"), ("hi", "m"), ("hi", "lo")))).where("hi <> lo").distinct())
         # Both steps keep the components; a fixed point is a set of stars, told by its size and sums.
         now = pairs.agg(
             F.count("*"), F.sum(F.col("hi").cast("decimal(38,0)")), F.sum(F.col("lo").cast("decimal(38,0)")),

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from tests.llm import brute
 
-from strandlake.llm import near_dedup, shingles
+from strandlake.llm import common, near_dedup, shingles
 
 
 def collection(seed=5):
@@ -53,3 +53,18 @@ def test_long_text_in_one_chunk():
     sets = list(shingles.shingle_sets(["a b c d e f", text, "a b c d e f"], 5))
     assert [len(s) for s in sets] == [2, 599_996, 2] and (sets[0] == sets[2]).all()
     assert len(shingles.signature(sets[1], *shingles.maps(16))) == 16 and np.all(np.diff(sets[1].astype(object)) > 0)
+
+
+def test_a_round_of_components_is_planned_once(spark, monkeypatch):
+    """Unions of a table with itself planned each round several times over, which filled the driver of long runs."""
+    plans, keep = [], common.keep
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(common, "keep", seen)
+    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (6, 2)], "src long, dst long")
+    found = common.components(edges).collect()
+    assert sorted(map(tuple, found)) == [(2, 2), (3, 2), (4, 2), (5, 2), (6, 2), (8, 8), (9, 8)]
+    assert max(p.count("HashAggregate(") for p in plans) <= 12
