@@ -124,42 +124,57 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return grouped.groupBy("a", "g").applyInPandas(compare, "a long, b long")
 
 
+def _bits_apart(bits: str, other: str) -> str:
+    """SQL: in how many places two bitmaps differ."""
+    return " + ".join(f"bit_count({bits}[{i}] ^ {other}[{i}])" for i in range(shingles.WORDS))
+
+
 def _rest_pairs(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``rest(node, component)`` from different components that may reach ``percent``: an exact filter.
 
     Shingles are ordered by how many sets of the rest have them. A set x that shares enough with a set y no larger meets
     it within the first ``|x| - t|x| + 1`` of its own and the first ``|y| - 2t/(1+t)|y| + 1`` of y's shingles, at places
-    behind which enough is left of both.
+    behind which enough is left of both. Their parity bitmaps differ in no more places than the sets in shingles, which
+    tells most sets that are alike but not enough before they become rows.
     """
 
     def spread(batches):
         for batch in batches:
             sets = list(shingles.shingle_sets(batch.column("text").to_pylist(), width))
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            bits = [shingles.parity_bits(s).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(at), batch.column("component").take(at), pa.array(np.repeat(sizes, sizes)),
-                 pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))],
-                names=["node", "component", "size", "shingle"],
+                [batch.column("node"), batch.column("component"), pa.array(sizes), pa.ListArray.from_arrays(ends, flat),
+                 pa.array(bits, pa.list_(pa.int64()))],
+                names=["node", "component", "size", "shingles", "bits"],
             )
 
-    rows = keep(texts.join(rest, "node").select("node", "component", "text").mapInArrow(spread, "node long, component long, size long, shingle long"))
+    sets = keep(
+        texts.join(rest, "node").select("node", "component", "text")
+        .mapInArrow(spread, "node long, component long, size long, shingles array<long>, bits array<long>")
+    )
+    rows = sets.select("node", "component", "size", F.explode("shingles").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # Shingles of one set only come first in its order, so only their number matters.
     by_set = (
         rows.join(shared, "shingle").groupBy("node", "component", "size")
         .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
         .withColumn("own", F.col("size") - F.size("s"))
+        .join(sets.select("node", "bits"), "node")
     )
     probe = F.expr(f"size - cast(ceil({percent} * size / 100) as bigint) + 1 - own")
     index = F.expr(f"size - cast(ceil(2 * {percent} * size / (100 + {percent}) - 1e-9) as bigint) + 1 - own")
     place = by_set.select(
-        "node", "component", "size", "own", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)).cast("int"))).alias("i", "s")
+        "node", "component", "size", "bits", "own", index.alias("index"),
+        F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)).cast("int"))).alias("i", "s"),
     )
-    x = keep(place.select("node", "component", "size", "i", (F.col("size") - F.col("own") - F.col("i")).alias("left"), "s.shingle", (F.col("i") < F.col("index")).alias("indexed")))
-    y = x.where("indexed").select(*[F.col(c).alias(f"y_{c}") for c in ("node", "component", "size", "i", "left")], "shingle")
+    x = keep(place.select("node", "component", "size", "bits", "i", (F.col("size") - F.col("own") - F.col("i")).alias("left"), "s.shingle", (F.col("i") < F.col("index")).alias("indexed")))
+    y = x.where("indexed").select(*[F.col(c).alias(f"y_{c}") for c in ("node", "component", "size", "bits", "i", "left")], "shingle")
     near = f"""component != y_component and y_size <= size and y_size * 100 >= size * {percent}
-               and (least(i, y_i) + least(left, y_left)) * (100 + {percent}) >= {percent} * (size + y_size)"""
+               and (least(i, y_i) + least(left, y_left)) * (100 + {percent}) >= {percent} * (size + y_size)
+               and (size + y_size - ({_bits_apart("bits", "y_bits")})) * (100 + {percent}) >= 2 * {percent} * (size + y_size)"""
     return x.join(y, "shingle").where(near).select(F.col("node").alias("a"), F.col("y_node").alias("b"))
 
 

@@ -13,6 +13,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE)] = True
 #: Bytes of text that are hashed in one go.
 CHUNK = 1 << 21
+#: 64-bit words of a parity bitmap.
+WORDS = 16
 _U = np.uint64
 
 
@@ -101,3 +103,12 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that equal sets share."""
     a, b = mix(hashes ^ _U(0x1234567)), mix(hashes + _U(0x89ABCDEF))
     return int(a.sum(dtype=np.uint64).astype(np.int64)), int(b.sum(dtype=np.uint64).astype(np.int64))
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of ``WORDS`` words that tells for each of its places whether an odd number of the set's hashes fall there.
+
+    A hash that only one of two sets holds turns one place, so bitmaps differ in no more places than sets in hashes.
+    """
+    odd = np.bincount((hashes % _U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)

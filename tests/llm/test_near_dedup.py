@@ -68,3 +68,22 @@ def test_a_round_of_components_is_planned_once(spark, monkeypatch):
     found = common.components(edges).collect()
     assert sorted(map(tuple, found)) == [(2, 2), (3, 2), (4, 2), (5, 2), (6, 2), (8, 8), (9, 8)]
     assert max(p.count("HashAggregate(") for p in plans) <= 12
+
+
+def test_rest_meets_only_sets_that_may_be_near(spark):
+    """Many texts of one kind, most pairs alike by 0.6 to 0.75: these became rows of the join, with the group's square."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    passages = [[[r.choice(words) for _ in range(12)] for _ in range(4)] for _ in range(15)]
+    base = [r.choice(words) for _ in range(9)]
+    kept = [r.randrange(4) for _ in passages]
+    texts = [[w for p, k in zip(passages, kept) for w in [*p[k if r.random() < 0.85 else r.randrange(4)], *base]] for _ in range(120)]
+    texts = [" ".join(t) for t in texts] + [" ".join(r.choice(words) for _ in range(n)) for n in (3, 5, 300)]
+    rest = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, component long")
+    found = near_dedup._rest_pairs(rest, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 80)
+    got = [(min(p), max(p)) for p in found.collect()]
+    sets = [brute.shingles(t) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(texts)) for a in range(b)}
+    near = {p for p, share in alike.items() if share >= 0.8}
+    assert near and near <= set(got)
+    assert len(set(got) - near) <= sum(0.7 <= share < 0.8 for share in alike.values()) < sum(0.5 <= share < 0.8 for share in alike.values()) / 2
