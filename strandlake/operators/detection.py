@@ -14,15 +14,15 @@ from strandlake.session import cut_lineage
 MIN_LENGTH = 12
 
 
-def _seed(s: Column, k: int) -> Column:
-    """The most varied k-mer of a sequence and its offset: ``struct(variety, back, seed)``.
+def _seed(s: Column, k: int, every: int = 1) -> Column:
+    """The most varied k-mer of a sequence and its offset: ``struct(variety, back, seed)``, of those at each ``every``-th place.
 
     Runs of one base or of one pair make poor seeds, being everywhere at once.
     """
     windows = F.transform(
-        kmers(s, k),
-        lambda w, i: F.struct(
-            F.size(F.array_distinct(kmers(w, 3))).alias("variety"), (-i).alias("back"), w.alias("seed")
+        F.filter(F.transform(kmers(s, k), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % every == 0),
+        lambda x: F.struct(
+            F.size(F.array_distinct(kmers(x["w"], 3))).alias("variety"), (-x["i"]).alias("back"), x["w"].alias("seed")
         ),
     )
     return F.array_max(windows)
@@ -34,9 +34,11 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
 
     One seed per entry and strand is enough: windows of a tile that a Bloom filter of all seeds
     lets pass meet the seeds in an equi-join, and the few candidates are compared with the bases
-    of their span. Rows follow the hits, not the bases. ``strand`` is unknown for entries without a direction.
+    of their span. Entries have the longest seed of a few sizes that they hold: chance windows with a seed grow with
+    bases x entries / 4^size, and long seeds keep them below the hits.
+    Rows follow the hits, not the bases. ``strand`` is unknown for entries without a direction.
     """
-    k = min_length
+    sizes = [min_length, min_length + 4, 2 * min_length]
     entries = library.where((F.length("sequence") >= min_length) & (F.col("status") != "hidden")).select(
         "library_id", "name", "kind", "family_id", "stranded", F.length("sequence").cast("bigint").alias("length"),
         F.col("sequence").alias("entry"),
@@ -45,25 +47,34 @@ def detect_features(records: DataFrame, library: DataFrame, min_length: int = MI
     both = F.when(turned == F.col("entry"), F.array(F.struct(F.lit("forward").alias("hit"), F.col("entry").alias("text")))).otherwise(
         F.array(F.struct(F.lit("forward").alias("hit"), F.col("entry").alias("text")), F.struct(F.lit("reverse").alias("hit"), turned.alias("text")))
     )
-    seeds = entries.select("*", F.inline(both)).drop("entry").withColumn("s", _seed(F.col("text"), k)).select(
-        "*", F.col("s.seed").alias("seed"), (-F.col("s.back")).cast("bigint").alias("offset")
+    size, seed = F.lit(sizes[0]), _seed(F.col("text"), sizes[0])
+    for k in sizes[1:]:
+        size, seed = F.when(F.col("length") >= k, F.lit(k)).otherwise(size), F.when(F.col("length") >= k, _seed(F.col("text"), k, k // 4)).otherwise(seed)
+    seeds = entries.select("*", F.inline(both)).drop("entry").withColumn("size", size).withColumn("s", seed).select(
+        "*", F.xxhash64("size", "s.seed").alias("key"), (-F.col("s.back")).cast("bigint").alias("offset")
     ).drop("s")
-    seeds = cut_lineage(seeds.withColumn("key", F.xxhash64("seed")))
     # Kept once: the filter and the join read them. Only windows that may hold a seed leave their tile.
+    seeds = cut_lineage(seeds)
     sketch = Sketch(seeds, "key")
+    there = sorted(r.size for r in seeds.select("size").distinct().collect()) or sizes[:1]
+    # Windows hold the longest seed; behind the end of linear molecules stands what no seed holds.
+    pad = there[-1] - there[0]
+    padded = records.select("record_id", "topology", F.when(F.col("topology") == "circular", F.col("sequence")).otherwise(F.concat("sequence", F.lit("-" * pad))).alias("sequence"))
+    ring = F.col("topology") == "circular"
     places = (
-        tile_records(records, k - 1, step)
-        .select("record_id", "topology", "length", "tile_start", F.posexplode(kmers("bases", k)).alias("at", "seed"))
-        .where(sketch.holds(F.xxhash64("seed")))
+        tile_records(padded, there[-1] - 1, step)
+        .select("record_id", ring.alias("ring"), "length", "tile_start", F.posexplode(kmers("bases", there[-1])).alias("at", "window"))
         .where((F.col("at") < step) & (F.col("tile_start") + F.col("at") < F.col("length")))
-        .select("record_id", "topology", F.col("length").alias("n"), (F.col("tile_start") + F.col("at")).alias("place"), "seed")
+        .select("*", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("window", 1, k)) for k in there])).alias("key"))
+        .where(sketch.holds(F.col("key")))
+        .select("record_id", "ring", (F.col("length") - F.when(F.col("ring"), 0).otherwise(pad)).alias("n"), (F.col("tile_start") + F.col("at")).alias("place"), "key")
     )
     start = F.col("place") - F.col("offset")
     hits = (
-        places.join(large(seeds.drop("key")), "seed")
-        .withColumn("start", F.when(F.col("topology") == "circular", F.pmod(start, F.col("n"))).otherwise(start))
-        .where("length <= n and start >= 0 and (topology = 'circular' or start + length <= n)")
-        .drop("seed", "place", "offset")
+        places.join(large(seeds), "key")
+        .withColumn("start", F.when(F.col("ring"), F.pmod(start, F.col("n"))).otherwise(start))
+        .where("length <= n and start >= 0 and (ring or start + length <= n)")
+        .drop("key", "size", "place", "offset", "ring")
     )
     checked = attach_bases(hits, records, ["record_id", "library_id", "hit", "start"], step=step).where("bases = text")
     return checked.select(
@@ -83,13 +94,12 @@ def annotated_as(matches: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``spans`` comes from ``sequences.contiguous_spans``.
     """
-    there = spans.select("record_id", "start", "length", F.col("feature_id").alias("_f"), F.col("strand").alias("_s"))
-    keys = ["record_id", "library_id", "start", "hit"]
-    found = matches.select(*keys, "length", "strand").join(large(there), ["record_id", "start", "length"]).where(
-        "_s = 'unknown' or strand = 'unknown' or _s = strand"
-    )
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list("_f")).alias("annotated_as"))
-    return matches.join(large(listed), keys, "left").withColumn("annotated_as", F.coalesce("annotated_as", F.array().cast("array<string>")))
+    there = spans.groupBy("record_id", "start", "length").agg(F.collect_list(F.struct("feature_id", "strand")).alias("_there"))
+    # One pass over the matches: features of a span come as a list, read in the match's own row.
+    agree = F.filter("_there", lambda x: (x["strand"] == "unknown") | (F.col("strand") == "unknown") | (x["strand"] == F.col("strand")))
+    listed = F.array_sort(F.transform(agree, lambda x: x["feature_id"]))
+    return matches.join(large(there), ["record_id", "start", "length"], "left").select(
+        *matches.columns, F.coalesce(listed, F.array().cast("array<string>")).alias("annotated_as"))
 
 
 def _containers(matches: DataFrame, same_family: bool, bin_width: int) -> DataFrame:
